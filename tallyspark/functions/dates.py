@@ -58,7 +58,7 @@ def parse_ts(c, *formats: str) -> Column:
     """Q9/X7 column form: first format that parses wins; bad text -> NULL."""
     fmts = formats or ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy")
     col = as_col(c)
-    return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in fmts])
+    return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in fmts]).cast("timestamp_ntz")
 
 
 def ts_lit(d: dt.datetime) -> Column:

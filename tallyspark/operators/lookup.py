@@ -93,26 +93,27 @@ def chained_lookup(base: DataFrame, key: str, lookups: Sequence[tuple], aux_key:
 
 def exists_switch(base: DataFrame, base_key: str, a: DataFrame, b: DataFrame, src_key: str,
                   cols: Sequence[str], exprs: dict[str, Column] | None = None,
-                  strict: bool = True) -> DataFrame:
+                  strict: bool = True, prefix: str = "") -> DataFrame:
     """J4 ``CASE WHEN EXISTS(row in A) THEN (col from A) ELSE (col from B)``:
     decided per *row*, so a NULL in A does not fall back to B (contrast J1).
     With ``strict`` (J5) a source holding two rows for one key raises like a
     scalar subquery returning more than one row.  ``exprs`` are derived
-    columns evaluated on the chosen side (e.g. ``base_16 + cero_nacional``)."""
+    columns evaluated on the chosen side (e.g. ``base_16 + cero_nacional``);
+    ``prefix`` names the chosen columns when they clash with the base."""
     exprs = exprs or {}
     sides = []
+    keep = [*cols, *exprs]
     for tag, src in (("a", a), ("b", b)):
-        r = strict_lookup_table(src, src_key, cols) if strict else first_per_key(src, src_key, cols, [src_key])
-        # derived columns are written over the source's column names
-        sides.append(r.select(F.col(src_key).alias(f"_{tag}k"),
-                              *[F.col(c).alias(f"_{tag}_{c}") for c in cols],
-                              *[e.alias(f"_{tag}_x_{n}") for n, e in exprs.items()]))
+        # derived columns are written over the source's column names and
+        # evaluated before the per-key reduction
+        s = src.select(src_key, *cols, *[e.alias(n) for n, e in exprs.items()])
+        r = strict_lookup_table(s, src_key, keep) if strict else first_per_key(s, src_key, keep, [src_key])
+        sides.append(r.select(F.col(src_key).alias(f"_{tag}k"), *[F.col(c).alias(f"_{tag}_{c}") for c in keep]))
     out = base
     for tag, r in zip(("a", "b"), sides):
         out = out.join(r, F.col(base_key) == F.col(f"_{tag}k"), "left")
     in_a = F.col("_ak").isNotNull()
-    chosen = [F.when(in_a, F.col(f"_a_{c}")).otherwise(F.col(f"_b_{c}")).alias(c) for c in cols]
-    chosen += [F.when(in_a, F.col(f"_a_x_{n}")).otherwise(F.col(f"_b_x_{n}")).alias(n) for n in exprs]
+    chosen = [F.when(in_a, F.col(f"_a_{c}")).otherwise(F.col(f"_b_{c}")).alias(prefix + c) for c in keep]
     return out.select(*[F.col(c) for c in base.columns], in_a.alias("_in_a"), *chosen)
 
 

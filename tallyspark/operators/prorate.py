@@ -21,7 +21,7 @@ def prorate(paid, subtotal, iva, ieps) -> dict[str, Column]:
     0.  A zero subtotal gives NULL (the reference raises a division error)."""
     p, s = as_col(paid).cast("double"), F.nullif(as_col(subtotal).cast("double"), F.lit(0.0))
     r_iva, r_ieps = as_col(iva).cast("double") / s, as_col(ieps).cast("double") / s
-    base = p / (F.lit(1.0) + r_iva + r_ieps)
+    base = p / (F.lit(1.0) + (r_iva + r_ieps))   # same association as the reference
     none = as_col(paid).isNull()
     return {
         "subtotal_sat": F.when(none, F.lit(0.0)).otherwise(F.round(base, 2)),

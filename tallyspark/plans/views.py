@@ -67,22 +67,23 @@ def raw_data(m: Model) -> DataFrame:
     sap = exists_switch(inv, "folio_interno", m.iva_bcs, m.iva_bhc, "reference",
                         ["doc_number", "clearing_doc", "iva", "ieps"],
                         exprs=sap_sums("base_16", "cero_nacional", "cero_extranjero", "iva", "ieps"),
-                        strict=True)
+                        strict=True, prefix="sap_")
     sap = sap.select(*inv.columns, "_in_a",
-                     F.col("doc_number").alias("document_number_sap"),
-                     F.col("clearing_doc").alias("clearing_document_sap"),
-                     "subtotal_sap", F.col("iva").alias("iva_sap"), F.col("ieps").alias("ieps_sap"),
-                     "total_aplicacion_sap")
+                     F.col("sap_doc_number").alias("document_number_sap"),
+                     F.col("sap_clearing_doc").alias("clearing_document_sap"),
+                     F.col("sap_subtotal_sap").alias("subtotal_sap"), F.col("sap_iva").alias("iva_sap"),
+                     F.col("sap_ieps").alias("ieps_sap"), F.col("sap_total_aplicacion_sap").alias("total_aplicacion_sap"))
     # J6 for each entity, then the per-row switch of J4.
-    bank_cols = ["depositos", "nombre", "value_date"]
+    bank_cols = ["depositos", "bank_nombre", "value_date"]
+    bancos = m.bancos.withColumnRenamed("nombre", "bank_nombre")
     for tag, led in (("a", m.iva_bcs), ("b", m.iva_bhc)):
         sap = bank_via_ledger(sap, "folio_interno", led, "reference", "doc_number",
-                              m.bancos, "document_number", bank_cols, strict=True)
+                              bancos, "document_number", bank_cols, strict=True)
         sap = sap.select(*[c for c in sap.columns if c not in bank_cols],
                          *[F.col(c).alias(f"_{tag}_{c}") for c in bank_cols])
     pick = {c: F.when(F.col("_in_a"), F.col(f"_a_{c}")).otherwise(F.col(f"_b_{c}")) for c in bank_cols}
     sap = sap.select(*inv.columns, pick["depositos"].alias("depositos"),
-                     pick["nombre"].alias("nombre_del_banco"), pick["value_date"].alias("fecha_deposito"),
+                     pick["bank_nombre"].alias("nombre_del_banco"), pick["value_date"].alias("fecha_deposito"),
                      "document_number_sap", "clearing_document_sap", "subtotal_sap", "iva_sap", "ieps_sap",
                      "total_aplicacion_sap")
     pays = m.payments.select("id_documento", "uuid_complemento", "importe_pagado")
