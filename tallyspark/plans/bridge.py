@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import money
+from ..sources.tables import read_table
 
 # Fixed values of the adapter.
 PAYMENT_METHOD_BY_STATUS = {"F": "PUE", "O": "PPD", "P": "OTHER"}
@@ -38,6 +39,9 @@ LEDGER_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_
 AUX_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
 LINE_ORDER = LEDGER_ORDER
 
+# Fact tables whose scans are rebalanced when they yield too few splits.
+SPREAD_TABLES = ("lineitem", "orders", "events")
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -62,7 +66,10 @@ class Model:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if name in SPREAD_TABLES:
+            return read_table(self.spark, path)
+        return self.spark.read.parquet(path)
 
     # ---------------------------------------------------------------- invoices
     @cached_property

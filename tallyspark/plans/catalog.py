@@ -187,7 +187,7 @@ def _j6(m):
 
 
 def _groups_and_postings(m):
-    view = _view(m)
+    view = R.shared_view(m, None)
     return view, A.sum_by_clearing(view)
 
 
@@ -336,7 +336,7 @@ def _l4(m):
 # ---------------------------------------------------------------- set ops
 @q("u1_listing_union")
 def _u1(m):
-    view = _view(m)
+    view = R.shared_view(m, None)
     filt = FL.InvoiceFilter()
     per_client = R.matched_per_clearing(view, m.bank, filt, two_pass=True)
     per_plain = R.matched_per_clearing(view, m.bank, filt, two_pass=False)
@@ -476,7 +476,7 @@ def _x18(m):
 
 @q("x18_status_per_invoice")
 def _x18p(m):
-    view = _view(m)
+    view = R.shared_view(m, None)
     per = R.matched_per_clearing(view, m.bank, FL.InvoiceFilter(), two_pass=True)
     out = attach_bank(view, per, spread_by=["receipt_number"])
     return with_status(out, F.col("bank_name").isNotNull(), as_of=AS_OF, per_invoice_date="cfdi_date").select(

@@ -15,6 +15,7 @@ from ..operators.filters import InvoiceFilter, bank_listing, between_dates, tax_
 from ..operators.match import attach_bank, first_match_per_clearing, match_on_amount, with_status
 from ..operators.paging import order_by_clearing, page, top_clients
 from ..operators.setops import report_union
+from ..session import materialize
 from .bridge import Model
 from .views import conciliations_view
 
@@ -50,12 +51,21 @@ def attach_and_classify(view: DataFrame, per_clearing: DataFrame, filt: InvoiceF
     return out
 
 
+def shared_view(m: Model, filt: InvoiceFilter | None, materialize_view: bool = False) -> DataFrame:
+    """The enrichment view feeds two branches (the per-clearing sums and the
+    attach join).  Spark would evaluate its five joins once per branch, so
+    it is written once to the shared checkpoint folder and read back --
+    which also cuts lineage, so a lost executor does not recompute it."""
+    view = conciliations_view(m, filt)
+    return materialize(view, label="conciliations-view") if materialize_view else view
+
+
 def reconciliation_listing(m: Model, filt: InvoiceFilter, as_of, two_pass: bool = True,
-                           null_safe: bool = True) -> DataFrame:
+                           null_safe: bool = True, materialize_view: bool = False) -> DataFrame:
     """V5 detail: every PUE/PPD invoice once (deliberate: the reference
     lists each twice), with the bank posting it reconciles to and its
     status."""
-    view = conciliations_view(m, filt)
+    view = shared_view(m, filt, materialize_view)
     per = matched_per_clearing(view, m.bank, filt, two_pass)
     return attach_and_classify(view, per, filt, as_of, null_safe)
 
@@ -76,10 +86,10 @@ def reconciliation_page(m: Model, filt: InvoiceFilter, as_of, number: int = 1, s
                        info=page_info(detail, size))
 
 
-def reconciliation_report(m: Model, filt: InvoiceFilter) -> DataFrame:
+def reconciliation_report(m: Model, filt: InvoiceFilter, materialize_view: bool = False) -> DataFrame:
     """V6 download: single (plain) pass, no fallback status, totals row
     appended (U3)."""
-    view = conciliations_view(m, filt)
+    view = shared_view(m, filt, materialize_view)
     per = matched_per_clearing(view, m.bank, filt, two_pass=False)
     detail = attach_and_classify(view, per, filt, as_of=None, status=False)
     detail = detail.withColumn("status_conciliation",
