@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-_BODY = """CASE WHEN p IS NULL THEN CAST(NULL AS STRING)
-     WHEN p = 0 THEN '$0'
-     WHEN round(abs(p), 2) >= 1000000000 THEN concat('$', IF(p < 0, '-', ''), '###,###,###.##')
-     ELSE concat('$', IF(p < 0, '-', ''), regexp_replace(format_number(abs(p), 2), '^0\\\\.', '.')) END"""
+_TEMPLATE = """CASE WHEN {p} IS NULL THEN CAST(NULL AS STRING)
+     WHEN {p} = 0 THEN '$0'
+     WHEN round(abs({p}), 2) >= 1000000000 THEN concat('$', IF({p} < 0, '-', ''), '###,###,###.##')
+     ELSE concat('$', IF({p} < 0, '-', ''), regexp_replace(format_number(abs({p}), 2), '^0[.]', '.')) END"""
 
 
 def register_functions(spark: SparkSession) -> None:
-    """``format_price(DOUBLE)`` and ``format_price_numeric(DECIMAL)`` as SQL
-    UDFs (inlined by Catalyst, no Python at run time)."""
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION format_price(p DOUBLE) RETURNS STRING RETURN {_BODY}")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION format_price_numeric(x DECIMAL(38,6)) RETURNS STRING "
-              f"RETURN (SELECT {_BODY} FROM (SELECT round(x, 2) AS p))")
+    """``format_price(DOUBLE)`` and ``format_price_numeric(DECIMAL)`` (the
+    NUMERIC overload, rounding half away from zero first) as SQL UDFs --
+    inlined by Catalyst, no Python at run time."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION format_price(p DOUBLE) RETURNS STRING RETURN "
+              + _TEMPLATE.format(p="p"))
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION format_price_numeric(x DECIMAL(38,6)) RETURNS STRING RETURN "
+              + _TEMPLATE.format(p="round(x, 2)"))

@@ -51,7 +51,8 @@ def strip_chars(df: DataFrame, chars: str = "'") -> DataFrame:
 
 
 def drop_last(df: DataFrame, n: int, line_col: str, file_col: str = "file_name") -> DataFrame:
-    """Q4: drop the last ``n`` rows of every file (trailing total rows).
+    """Q4: drop the last ``n`` rows of every file (trailing total rows);
+    ``line_col`` must be numeric (a landed text column is cast first).
     The last line number per file comes from a partial aggregation joined
     back on the file, so a huge file is never sorted on one task."""
     if n <= 0:

@@ -1,5 +1,303 @@
+"""Registry entries for sources, sinks, cleaning and streaming.
+
+Each entry first lands input files derived from the driver tables (invoice
+XML, bank extract JSON, ledger sheets as CSV) in a new folder below the
+shared checkpoint folder, then reads them back through the source operators.
+Where the round trip is lossless the oracle is plain SQL over the original
+tables (``ROWS_ONLY_ORACLE``)."""
+
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.sql import register_functions
+from ..operators.clean import drop_last, new_files_only
+from ..session import scratch_path
+from ..sources.bank import bank_documents, bank_rows, file_stem, read_bank_extract
+from ..sources.invoices import invoice_documents, invoices, read_invoice_xml, tax_lines, write_invoice_xml
+from ..sources.ledgers import LEDGER_SPECS, clean_ledger, read_ledger, route_bank_sheet
+from ..sources.sinks import append, create_catalog, write_json_rows, write_report
+from ..streaming.incremental import ingest_files
+from .bridge import LINE_ORDER, Model
+from .catalog import finalize
+
+_REG = {}
+LOAD_DATE = "2024-02-01"
+
+
+def q(name):
+    def deco(fn):
+        _REG[name] = lambda spark, sf_dir, _fn=fn: finalize(_fn(Model(spark, sf_dir)))
+        return fn
+    return deco
+
 
 def rows_only_registry():
-    return {}
+    return dict(_REG)
+
+
+# ------------------------------------------------------------------ landing
+def land_invoices(m: Model) -> str:
+    path = scratch_path(m.spark, "landing-invoices")
+    write_invoice_xml(invoice_documents(m.table("orders"), m.table("customer"), m.table("lineitem")), path)
+    return path
+
+
+def land_bank_extracts(m: Model) -> str:
+    path = scratch_path(m.spark, "landing-bank")
+    bank_documents(m.bank_events).write.mode("overwrite").text(path)
+    return path
+
+
+def _dec_comma(c):
+    return F.regexp_replace(c.cast("decimal(20,5)").cast("string"), r"\.", ",")
+
+
+def ledger_sheet(m: Model, chunks: int = 8) -> DataFrame:
+    """BHC FBL3N sheet rows from lineitem (returnflag R), as text, plus one
+    total row per file chunk (no document number) placed last."""
+    spec = LEDGER_SPECS["bhc_fbl3n"]
+    li = m.table("lineitem").where(F.col("l_returnflag") == "R")
+    chunk = F.pmod(F.xxhash64("l_orderkey"), F.lit(chunks))
+    vals = {
+        "Nº documento": F.concat(F.col("l_orderkey").cast("string"), F.lit(".0")),
+        "Cuenta": F.when(F.col("l_suppkey") != 7, F.col("l_suppkey").cast("string")),
+        "Ejercicio": F.year("l_shipdate").cast("string"),
+        "Referencia": F.col("l_orderkey").cast("string"),
+        "Referencia a factura": F.col("l_linenumber").cast("string"),
+        "Doc.compensación": F.col("l_partkey").cast("string"),
+        "Posición": F.col("l_linenumber").cast("string"),
+        "Texto": F.concat(F.lit("Part'"), F.col("l_partkey").cast("string")),
+        "Importe en moneda doc.": _dec_comma(F.col("l_extendedprice")),
+        "Tp.cambio efectivo": _dec_comma(F.col("l_discount")),
+        "Importe en moneda local": _dec_comma(F.col("l_extendedprice")),
+        "Fe.contabilización": F.date_format("l_shipdate", "dd/MM/yyyy"),
+        "Moneda del documento": F.lit("MXN"),
+    }
+    rows = li.select(chunk.alias("chunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"),
+                     *[(vals.get(h, F.lit(None).cast("string"))).alias(h) for h in spec.headers])
+    totals = rows.groupBy("chunk").agg(
+        (F.max("line_no") + 1).alias("line_no"),
+        F.regexp_replace(F.sum(F.regexp_replace("`Importe en moneda local`", ",", ".").cast("decimal(20,2)"))
+                         .cast("string"), r"\.", ",").alias("_total"))
+    totals = totals.select("chunk", "line_no", *[(F.col("_total") if h == "Importe en moneda local"
+                                                   else F.lit(None).cast("string")).alias(h) for h in spec.headers])
+    return rows.unionByName(totals)
+
+
+def land_ledger(m: Model) -> str:
+    path = scratch_path(m.spark, "landing-ledger")
+    (ledger_sheet(m).repartition("chunk").write.partitionBy("chunk").option("header", True)
+     .mode("overwrite").csv(path))
+    return path
+
+
+# ---------------------------------------------------------------- sources
+@q("s1_read_invoices")
+def _s1(m):
+    sat, _ = invoices(read_invoice_xml(m.spark, land_invoices(m)), load_date=LOAD_DATE)
+    return sat.select("receipt_number", "rfc", "client_name", "cfdi_use", "payment_method", "cfdi_date", "currency",
+                      "total_amount", "subtotal_16", "vat_16", "vat_0", "ieps", "tax_rate", "fiscal_uuid")
+
+
+@q("s2_concept_text")
+def _s2(m):
+    sat, _ = invoices(read_invoice_xml(m.spark, land_invoices(m)), load_date=LOAD_DATE)
+    return sat.select("receipt_number", "product_or_service")
+
+
+@q("s3_tax_lines_xml")
+def _s3x(m):
+    raw = read_invoice_xml(m.spark, land_invoices(m)).withColumn(
+        "fiscal_uuid", F.col("Complemento.TimbreFiscalDigital._UUID"))
+    return tax_lines(raw).drop("amount_text")
+
+
+@q("s4_read_bank_extract")
+def _s4(m):
+    raw = read_bank_extract(m.spark, land_bank_extracts(m), one_document_per_file=False)
+    return bank_rows(raw, load_date=LOAD_DATE).select("bank_name", "book_date", "value_date", "posting_amount",
+                                                      "payment_method", "ref", "comment", "client_name")
+
+
+@q("s5_file_stem")
+def _s5(m):
+    raw = read_bank_extract(m.spark, land_bank_extracts(m), one_document_per_file=False)
+    return raw.select(file_stem("source_file").alias("stem")).distinct()
+
+
+@q("s6_read_ledger")
+def _s6(m):
+    good, _ = clean_ledger(read_ledger(m.spark, land_ledger(m), "bhc_fbl3n"), "bhc_fbl3n")
+    return good.select("document_number", "gl_account", "reference", "invoice_reference", "clearing_document",
+                       "line_item", "text", "amount_in_doc_curr", "eff_exchange_rate", "amount_in_local_currency",
+                       "posting_date", "fiscal_year")
+
+
+@q("s7_route_bank_sheet")
+def _s7(m):
+    s, n, r = m.table("supplier"), m.table("nation"), m.table("region")
+    sheets = (s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+              .select("s_suppkey", F.concat(F.lower(F.substring("n_name", 1, 2)), F.lit("-"),
+                                            F.lower(F.substring("r_name", 1, 3)), F.lit(" "),
+                                            F.element_at(F.array(F.lit("PBC"), F.lit("N8P"), F.lit("XYZ")),
+                                                         (F.pmod("s_suppkey", F.lit(3)) + 1).cast("int")))
+                      .alias("sheet")))
+    return sheets.select("s_suppkey", "sheet", route_bank_sheet("sheet").alias("target"))
+
+
+# --------------------------------------------------------------- cleaning
+@q("q4_drop_trailing_rows")
+def _q4(m):
+    raw = read_ledger(m.spark, land_ledger(m), "bhc_fbl3n").withColumn("line_no", F.col("line_no").cast("bigint"))
+    kept = drop_last(raw, LEDGER_SPECS["bhc_fbl3n"].trailing_rows, "line_no", file_col="chunk")
+    return kept.select(F.col("Referencia").alias("reference"), F.col("Posición").alias("position"),
+                       F.col("line_no").cast("bigint").alias("line_no"))
+
+
+@q("q11_split_rejects")
+def _q11(m):
+    _, bad = clean_ledger(read_ledger(m.spark, land_ledger(m), "bhc_fbl3n"), "bhc_fbl3n")
+    return bad.select(F.col("Nº documento").alias("document_text"), F.col("Posición").alias("position"),
+                      "reject_reason")
+
+
+@q("q13_new_files_only")
+def _q13(m):
+    path = land_invoices(m)
+    raw = read_invoice_xml(m.spark, path)
+    registry = raw.select(F.col("source_file").alias("file_name")).where(F.lit(False))
+    incoming = raw.unionByName(read_invoice_xml(m.spark, path))      # the same files offered twice
+    fresh = new_files_only(incoming.withColumn("file_name", F.col("source_file")), registry)
+    sat, _ = invoices(fresh.drop("file_name"), load_date=LOAD_DATE)
+    return sat.dropDuplicates(["fiscal_uuid"]).select("receipt_number", "fiscal_uuid", "total_amount")
+
+
+# ------------------------------------------------------------------ sinks
+@q("k1_append")
+def _k1(m):
+    path = scratch_path(m.spark, "table-sat")
+    sat = m.sat.select("receipt_number", "payment_method", "total_amount")
+    append(sat.where(F.col("payment_method") == "PUE"), path)
+    append(sat.where(F.col("payment_method") == "PPD"), path)
+    return m.spark.read.parquet(path)
+
+
+@q("k2_report_export")
+def _k2(m):
+    from ..operators.aggregates import invoice_totals
+    from .views import conciliations_view
+    path = scratch_path(m.spark, "report")
+    view = conciliations_view(m)
+    write_report(view.select("receipt_number", "client_name", "total_amount", "ieps"), invoice_totals(view), path)
+    return m.spark.read.option("header", True).csv(path)
+
+
+@q("k3_json_rows")
+def _k3(m):
+    from ..operators.aggregates import bank_summary
+    path = scratch_path(m.spark, "json-rows")
+    write_json_rows(bank_summary(m.bank_events), path)
+    return m.spark.read.schema("bank_name string, total_posting_amount decimal(30,2), total_transactions bigint") \
+        .json(path)
+
+
+@q("k4_create_catalog")
+def _k4(m):
+    create_catalog(m.spark, {"sat": m.sat})
+    register_functions(m.spark)
+    return m.spark.sql("SELECT client_name, format_price(CAST(SUM(total_amount) AS DOUBLE)) AS total_text, "
+                       "format_price_numeric(SUM(ieps)) AS ieps_text FROM sat GROUP BY client_name")
+
+
+# -------------------------------------------------------------- streaming
+@q("t1_incremental_ingest")
+def _t1(m):
+    spark = m.spark
+    landing = land_bank_extracts(m)
+    target, ckpt = scratch_path(spark, "bank-table"), scratch_path(spark, "bank-stream-ckpt")
+
+    def transform(batch):
+        raw = read_bank_extract_batch(batch)
+        return bank_rows(raw, load_date=LOAD_DATE)
+
+    ingest_files(spark, landing, "text", "value string", target, ckpt, transform)
+    ingest_files(spark, landing, "text", "value string", target, ckpt, transform)   # re-run: nothing new
+    return spark.read.parquet(target).select("bank_name", "book_date", "value_date", "posting_amount",
+                                             "payment_method", "ref", "comment", "client_name")
+
+
+def read_bank_extract_batch(batch: DataFrame) -> DataFrame:
+    """Same parsing as ``read_bank_extract`` for a streamed batch of lines."""
+    from ..sources.bank import EXTRACT, TRANSACTION_FIELDS
+    docs = batch.select(F.col("source_file"), F.lit(None).cast("string").alias("s3_url"),
+                        F.explode(F.from_json("value", EXTRACT)).alias("account", "doc"))
+    tx = docs.select("account", "s3_url", "source_file", F.explode_outer("doc.Transactions").alias("t"))
+    return tx.select("account", "s3_url", "source_file",
+                     *[F.col("t").getField(k).alias(v) for k, v in TRANSACTION_FIELDS.items()])
+
+
+# ------------------------------------------------------------------ oracles
+def _oracle():
+    from .oracle import CTES, LEDGER_ORD, fin, fp
+    from .oracle import build as _build
+
+    def b(uses, final):
+        return _build(CTES, final, uses)
+
+    O = {}
+    O["s1_read_invoices"] = b(["sat"], fin(
+        "receipt_number:s rfc:s client_name:s cfdi_use:s payment_method:s cfdi_date:t currency:s total_amount:d "
+        "subtotal_16:d vat_16:d vat_0:d ieps:d tax_rate:s fiscal_uuid:s", "sat"))
+    O["s2_concept_text"] = fin("receipt_number:s product_or_service:s",
+        f"(SELECT o.o_orderkey AS receipt_number, COALESCE(string_agg('Part ' || CAST(l.l_partkey AS VARCHAR), ' * ' "
+        f"ORDER BY l.{LEDGER_ORD.replace(', ', ', l.')}), '') AS product_or_service "
+        f"FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey)")
+    O["s3_tax_lines_xml"] = b(["tl"], fin("fiscal_uuid:s pos:i tax_code:s rate:s amount:d",
+        f"(SELECT 'UUID-' || CAST(invoice_key AS VARCHAR) AS fiscal_uuid, "
+        f"row_number() OVER (PARTITION BY invoice_key ORDER BY {LEDGER_ORD}) - 1 AS pos, tax_code, rate, amount FROM tl)"))
+    bank_sql = ("(SELECT bank_name, date_trunc('second', book_date) AS book_date, date_trunc('second', value_date) "
+                "AS value_date, posting_amount, payment_method, ref, comment, client_name FROM bank_ev "
+                "WHERE CAST(trunc(posting_amount) AS BIGINT) > 0)")
+    bank_spec = ("bank_name:s book_date:t value_date:t posting_amount:d payment_method:s ref:s comment:s "
+                 "client_name:s")
+    O["s4_read_bank_extract"] = b(["bank_ev"], fin(bank_spec, bank_sql))
+    O["t1_incremental_ingest"] = O["s4_read_bank_extract"]
+    dc = "CAST(CAST(l_extendedprice AS DECIMAL(20,5)) AS DECIMAL(20,2))"
+    O["s6_read_ledger"] = fin(
+        "document_number:s gl_account:s reference:s invoice_reference:s clearing_document:s line_item:i text:s "
+        "amount_in_doc_curr:d eff_exchange_rate:d amount_in_local_currency:d posting_date:t fiscal_year:s",
+        f"(SELECT CAST(l_orderkey AS VARCHAR) AS document_number, CAST(l_suppkey AS VARCHAR) AS gl_account, "
+        f"CAST(l_orderkey AS VARCHAR) AS reference, CAST(l_linenumber AS VARCHAR) AS invoice_reference, "
+        f"CAST(l_partkey AS VARCHAR) AS clearing_document, l_linenumber AS line_item, "
+        f"'Part' || CAST(l_partkey AS VARCHAR) AS text, {dc} AS amount_in_doc_curr, "
+        f"CAST(l_discount AS DECIMAL(20,5)) AS eff_exchange_rate, {dc} AS amount_in_local_currency, "
+        f"CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS posting_date, CAST(year(l_shipdate) AS VARCHAR) AS fiscal_year "
+        f"FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey <> 7)")
+    O["s7_route_bank_sheet"] = fin("s_suppkey:i sheet:s target:s",
+        "(SELECT s_suppkey, sheet, CASE WHEN regexp_full_match(sheet, '[a-z]{2,3}-[a-z]{3} [A-Z0-9]{3}') "
+        "AND right(sheet, 3) = 'PBC' THEN 'bank_pbc' WHEN regexp_full_match(sheet, '[a-z]{2,3}-[a-z]{3} [A-Z0-9]{3}') "
+        "AND right(sheet, 3) = 'N8P' THEN 'bank_n8p' END AS target FROM ("
+        "SELECT s_suppkey, lower(substr(n_name, 1, 2)) || '-' || lower(substr(r_name, 1, 3)) || ' ' || "
+        "(['PBC', 'N8P', 'XYZ'])[(s_suppkey % 3) + 1] AS sheet FROM supplier JOIN nation ON s_nationkey = n_nationkey "
+        "JOIN region ON n_regionkey = r_regionkey))")
+    O["q4_drop_trailing_rows"] = fin("reference:s position:s line_no:i",
+        "(SELECT CAST(l_orderkey AS VARCHAR) AS reference, CAST(l_linenumber AS VARCHAR) AS position, "
+        "l_orderkey * 10 + l_linenumber AS line_no FROM lineitem WHERE l_returnflag = 'R')")
+    O["q11_split_rejects"] = fin("document_text:s position:s reject_reason:s",
+        "(SELECT CAST(l_orderkey AS VARCHAR) || '.0' AS document_text, CAST(l_linenumber AS VARCHAR) AS position, "
+        "'invalid:gl_account' AS reject_reason FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey = 7)")
+    O["q13_new_files_only"] = b(["sat"], fin("receipt_number:s fiscal_uuid:s total_amount:d", "sat"))
+    O["k1_append"] = b(["sat"], fin("receipt_number:i payment_method:s total_amount:d",
+                                    "(SELECT * FROM sat WHERE payment_method IN ('PUE', 'PPD'))"))
+    O["k3_json_rows"] = b(["bank_ev"], fin("bank_name:s total_posting_amount:d total_transactions:i",
+        "(SELECT bank_name, SUM(posting_amount) AS total_posting_amount, COUNT(id) AS total_transactions "
+        "FROM bank_ev GROUP BY bank_name)"))
+    O["k4_create_catalog"] = b(["sat"], fin("client_name:s total_text:s ieps_text:s",
+        f"(SELECT client_name, {fp('CAST(SUM(total_amount) AS DOUBLE)')} AS total_text, "
+        f"{fp('SUM(ieps)', numeric=True)} AS ieps_text FROM sat GROUP BY client_name)"))
+    return O
+
+
+ROWS_ONLY_ORACLE = _oracle()
