@@ -43,6 +43,29 @@ def _null_salt(base: DataFrame, key: str, spread_by: Sequence[str] | None, bucke
                   ).otherwise(F.lit(0)).cast("int")
 
 
+def first_per_key_by_source(sources: Sequence[DataFrame], src_key: str, cols: Sequence[str],
+                            order_by: Sequence[str | Column]) -> DataFrame:
+    """For several tables sharing a key: one row per key holding, per source
+    ``i``, the struct ``_s{i}`` of the first row (by ``order_by``) of that
+    source (NULL when the source lacks the key) and ``_hit{i}``.  The sources
+    are tagged and unioned, so a single partial aggregation and a single
+    shuffle serve all of them (``min_by`` skips rows whose ordering is NULL,
+    i.e. rows of the other sources)."""
+    need = list(dict.fromkeys([src_key, *cols, *[o for o in order_by if isinstance(o, str)]]))
+    tagged = None
+    for i, src in enumerate(sources):
+        t = src.select(*need).withColumn("_src", F.lit(i))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    order = F.struct(*[as_col(o) for o in order_by])
+    payload = F.struct(*[F.col(c) for c in cols])
+    aggs = []
+    for i in range(len(sources)):
+        mine = F.col("_src") == F.lit(i)
+        aggs += [F.min_by(payload, F.when(mine, order)).alias(f"_s{i}"),
+                 F.max(mine).alias(f"_hit{i}")]
+    return tagged.groupBy(src_key).agg(*aggs)
+
+
 def priority_lookup(base: DataFrame, sources: Sequence[DataFrame], base_key: str, src_key: str,
                     cols: Sequence[str], order_by: Sequence[str | Column],
                     rename: dict[str, str] | None = None, hit_label: Sequence[str] | None = None,
@@ -52,22 +75,18 @@ def priority_lookup(base: DataFrame, sources: Sequence[DataFrame], base_key: str
     value is NULL (or no row exists) the first row of source 1, and so on.
     The fallback is per column: a source-0 row with a NULL ``account`` still
     provides its clearing document.  ``hit_label`` adds X21's entity column
-    (label of the first source holding the key)."""
+    (label of the first source holding the key).  All sources are reduced by
+    one aggregation and attached by one left join."""
     rename = rename or {}
-    out = base
-    for i, src in enumerate(sources):
-        r = first_per_key(src.select(src_key, *cols, *[o for o in order_by if isinstance(o, str)]),
-                          src_key, cols, order_by)
-        r = r.select(F.col(src_key).alias(f"_k{i}"), F.lit(True).alias(f"_hit{i}"),
-                     *[F.col(c).alias(f"_s{i}_{c}") for c in cols])
-        out = out.join(r, F.col(base_key) == F.col(f"_k{i}"), "left")
-    picked = [F.coalesce(*[F.col(f"_s{i}_{c}") for i in range(len(sources))]).alias(rename.get(c, c))
-              for c in cols]
+    r = first_per_key_by_source(sources, src_key, cols, order_by).withColumnRenamed(src_key, "_k")
+    out = base.join(r, F.col(base_key) == F.col("_k"), "left")
+    n = len(sources)
+    picked = [F.coalesce(*[F.col(f"_s{i}.{c}") for i in range(n)]).alias(rename.get(c, c)) for c in cols]
     extra = []
     if hit_label:
         label = F.lit(None).cast("string")
-        for i in reversed(range(len(sources))):
-            label = F.when(F.col(f"_hit{i}").isNotNull(), F.lit(hit_label[i])).otherwise(label)
+        for i in reversed(range(n)):
+            label = F.when(F.coalesce(F.col(f"_hit{i}"), F.lit(False)), F.lit(hit_label[i])).otherwise(label)
         extra.append(label.alias(label_col))
     return out.select(*[F.col(c) for c in base.columns], *picked, *extra)
 
@@ -77,18 +96,22 @@ def chained_lookup(base: DataFrame, key: str, lookups: Sequence[tuple], aux_key:
                    spread_by: Sequence[str] | None = None) -> DataFrame:
     """Attach ``aux.col`` (first row by ``order_by`` whose ``aux_key``
     equals the base row's ``key``), defaulting to ``default`` when no row
-    exists or the base key is NULL.  ``lookups`` = [(aux_df, col, alias)].
-    NULL base keys are spread over ``NULL_SPREAD`` reducers (they can never
-    match), so invoices without a ledger item are not one hot partition."""
+    exists or the base key is NULL.  ``lookups`` = [(aux_df, col, alias)];
+    all of them are reduced together and attached with one join.  NULL base
+    keys are spread over ``NULL_SPREAD`` reducers (they can never match), so
+    invoices without a ledger item are not one hot partition."""
+    sources = [aux.select(F.col(aux_key), F.col(col).alias("_v"), *[o for o in order_by if isinstance(o, str)])
+               for aux, col, _ in lookups]
+    r = first_per_key_by_source(sources, aux_key, ["_v"], order_by)
+    r = r.select(F.col(aux_key).alias("_ck"), F.lit(0).alias("_cs"),
+                 *[F.col(f"_s{i}._v").alias(alias) for i, (_, _, alias) in enumerate(lookups)])
     out = base.withColumn("_salt", _null_salt(base, key, spread_by, NULL_SPREAD))
-    for i, (aux, col, alias) in enumerate(lookups):
-        r = first_per_key(aux, aux_key, [col], order_by)
-        r = r.select(F.col(aux_key).alias(f"_ck{i}"), F.col(col).alias(alias), F.lit(0).alias(f"_cs{i}"))
-        out = (out.join(r, (F.col(key) == F.col(f"_ck{i}")) & (F.col("_salt") == F.col(f"_cs{i}")), "left")
-               .drop(f"_ck{i}", f"_cs{i}"))
-        if default is not None:
+    out = (out.join(r, (F.col(key) == F.col("_ck")) & (F.col("_salt") == F.col("_cs")), "left")
+           .drop("_ck", "_cs", "_salt"))
+    if default is not None:
+        for _, _, alias in lookups:
             out = out.withColumn(alias, F.coalesce(F.col(alias), F.lit(default).cast(r.schema[alias].dataType)))
-    return out.drop("_salt")
+    return out
 
 
 def exists_switch(base: DataFrame, base_key: str, a: DataFrame, b: DataFrame, src_key: str,
