@@ -174,6 +174,36 @@ def _q13(m):
     return sat.dropDuplicates(["fiscal_uuid"]).select("receipt_number", "fiscal_uuid", "total_amount")
 
 
+def bank_sheet(m: Model) -> DataFrame:
+    """A bank auxiliary sheet (PBC) from events; rows of type 'error' carry
+    the 'Cleared/open items' marker in Business Area."""
+    spec = LEDGER_SPECS["bank_pbc"]
+    ev = m.table("events")
+    vals = {
+        "Business Area": F.when(F.col("event_type") == "error", F.lit("Cleared/open items"))
+                          .otherwise(F.concat(F.lit("BA-"), F.col("event_type"))),
+        "Document Number": F.col("event_id").cast("string"),
+        "Account": F.col("user_id").cast("string"),
+        "Fiscal Year": F.year("ts").cast("string"),
+        "Amount in local currency": F.col("value").cast("decimal(20,2)").cast("string"),
+        "Posting Date": F.date_format("ts", "yyyy-MM-dd"),
+        "Text": F.col("props"),
+    }
+    return ev.select(F.lit("mx-ban PBC").alias("sheet"),
+                     *[(vals.get(h, F.lit(None).cast("string"))).alias(h) for h in spec.headers])
+
+
+@q("q5_drop_markers")
+def _q5(m):
+    path = scratch_path(m.spark, "landing-bank-sheet")
+    bank_sheet(m).write.option("header", True).mode("overwrite").csv(path)
+    raw = read_ledger(m.spark, path, "bank_pbc")
+    raw = raw.where(route_bank_sheet("sheet") == F.lit("bank_pbc"))
+    good, _ = clean_ledger(raw, "bank_pbc")
+    return good.select("business_area", "document_number", "account", "fiscal_year", "amount_in_local_currency",
+                       "posting_date", "text")
+
+
 # ------------------------------------------------------------------ sinks
 @q("k1_append")
 def _k1(m):
@@ -288,6 +318,12 @@ def _oracle():
     O["q11_split_rejects"] = fin("document_text:s position:s reject_reason:s",
         "(SELECT CAST(l_orderkey AS VARCHAR) || '.0' AS document_text, CAST(l_linenumber AS VARCHAR) AS position, "
         "'invalid:gl_account' AS reject_reason FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey = 7)")
+    O["q5_drop_markers"] = fin(
+        "business_area:s document_number:s account:s fiscal_year:s amount_in_local_currency:d posting_date:D text:s",
+        "(SELECT 'BA-' || event_type AS business_area, CAST(event_id AS VARCHAR) AS document_number, "
+        "CAST(user_id AS VARCHAR) AS account, CAST(year(ts) AS VARCHAR) AS fiscal_year, "
+        "CAST(CAST(value AS DECIMAL(20,2)) AS DOUBLE) AS amount_in_local_currency, CAST(ts AS DATE) AS posting_date, "
+        "props AS text FROM events WHERE event_type <> 'error')")
     O["q13_new_files_only"] = b(["sat"], fin("receipt_number:s fiscal_uuid:s total_amount:d", "sat"))
     O["k1_append"] = b(["sat"], fin("receipt_number:i payment_method:s total_amount:d",
                                     "(SELECT * FROM sat WHERE payment_method IN ('PUE', 'PPD'))"))

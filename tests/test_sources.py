@@ -91,3 +91,9 @@ def test_seed_banks_day_first(spark):
     df = seed_banks(spark)
     assert df.count() == 26 and df.where(F.col("value_date").isNotNull()).count() == 5
     assert str(df.where(F.col("document_number") == 5020000395).first().value_date) == "2023-12-19"
+
+
+def test_require_header_exact_case_insensitive(spark):
+    from tallyspark.operators.clean import require_header
+    df = spark.createDataFrame([(1, 2)], "A int, b int")
+    assert require_header(df, ["a", "B"]) and not require_header(df, ["b", "a"])
