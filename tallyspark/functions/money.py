@@ -16,11 +16,28 @@ OVERFLOW_DIGITS = "###,###,###.##"
 MASK_LIMIT = 1_000_000_000
 
 
+# The mask as one SQL expression over ``{p}`` (shared with the SQL UDF).
+FORMAT_PRICE_SQL = """CASE WHEN {p} IS NULL THEN CAST(NULL AS STRING)
+     WHEN {p} = 0 THEN '$0'
+     WHEN round(abs({p}), 2) >= 1000000000 THEN concat('$', IF({p} < 0, '-', ''), '###,###,###.##')
+     ELSE concat('$', IF({p} < 0, '-', ''), regexp_replace(format_number(abs({p}), 2), '^0[.]', '.')) END"""
+
+
+def format_price_sql(expr_sql: str, numeric: bool = False) -> Column:
+    """``format_price`` of a SQL expression, built as a single expression
+    (one call to the JVM instead of one per sub-expression)."""
+    p = f"round(({expr_sql}), 2)" if numeric else f"({expr_sql})"
+    return F.expr(FORMAT_PRICE_SQL.format(p=p))
+
+
 def format_price(c, numeric: bool = False) -> Column:
     """X1 ``format_price``: NULL in, NULL out; 0 -> ``$0``; 0.5 -> ``$.50``;
     1234567.5 -> ``$1,234,567.50``; >= 10^9 -> ``$###,###,###.##``.
     ``numeric=True`` is the NUMERIC overload (rounds half away from zero
-    first; DECIMAL rounding in Spark is HALF_UP)."""
+    first; DECIMAL rounding in Spark is HALF_UP).  A column *name* is
+    formatted through ``format_price_sql``."""
+    if isinstance(c, str):
+        return format_price_sql(f"`{c}`", numeric)
     p = as_col(c)
     if numeric:
         p = F.round(p, 2)

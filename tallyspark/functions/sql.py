@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-_TEMPLATE = """CASE WHEN {p} IS NULL THEN CAST(NULL AS STRING)
-     WHEN {p} = 0 THEN '$0'
-     WHEN round(abs({p}), 2) >= 1000000000 THEN concat('$', IF({p} < 0, '-', ''), '###,###,###.##')
-     ELSE concat('$', IF({p} < 0, '-', ''), regexp_replace(format_number(abs({p}), 2), '^0[.]', '.')) END"""
+from .money import FORMAT_PRICE_SQL as _TEMPLATE
 
 
 def register_functions(spark: SparkSession) -> None:

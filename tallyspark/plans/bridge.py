@@ -67,12 +67,16 @@ class Model:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        if name in SPREAD_TABLES:
-            return read_table(self.spark, path)
-        return self.spark.read.parquet(path)
+        """One scan definition per table and model (file listing and footer
+        reads happen once; the plan is still re-evaluated per query)."""
+        if name not in self._tables:
+            path = f"{self.sf_dir}/{name}.parquet"
+            self._tables[name] = (read_table(self.spark, path) if name in SPREAD_TABLES
+                                  else self.spark.read.parquet(path))
+        return self._tables[name]
 
     # ---------------------------------------------------------------- invoices
     @cached_property

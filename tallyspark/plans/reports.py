@@ -40,12 +40,12 @@ def attach_and_classify(view: DataFrame, per_clearing: DataFrame, filt: InvoiceF
                         null_safe: bool = True, status: bool = True) -> DataFrame:
     """J8 + X2/X3 + X18 on the view rows."""
     out = attach_bank(view, per_clearing, null_safe=null_safe, spread_by=["receipt_number"])
-    out = (out.withColumnRenamed("ref", "bank_ref")
-           .withColumn("posting_amount_number", F.col("total_posting_amount"))
-           .withColumn("posting_amount", F.when(F.col("total_posting_amount").isNotNull(),
-                                                money_text("total_posting_amount")))
-           .withColumn("value_date", date_text_dmy("value_date"))
-           .drop("total_posting_amount"))
+    amt = F.col("total_posting_amount")
+    out = out.select(*[c for c in out.columns if c not in ("ref", "value_date", "total_posting_amount")],
+                     F.col("ref").alias("bank_ref"),
+                     amt.alias("posting_amount_number"),
+                     F.when(amt.isNotNull(), money_text(amt)).alias("posting_amount"),
+                     date_text_dmy("value_date").alias("value_date"))
     if status:
         out = with_status(out, F.col("bank_name").isNotNull(), filt.start, as_of)
     return out

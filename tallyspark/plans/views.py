@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import date_text_dmy
-from ..functions.money import format_price
+from ..functions.money import format_price, format_price_sql
 from ..operators.filters import InvoiceFilter, valid_invoices
 from ..operators.lookup import bank_via_ledger, chained_lookup, exists_switch, priority_lookup
 from ..operators.prorate import sap_sums, with_prorating
@@ -53,7 +53,7 @@ def conciliations_view(m: Model, filt: InvoiceFilter | None = None) -> DataFrame
         *[format_price(c).alias(f"formatted_{c}") for c in FORMATTED_MAIN],
         "subtotal_16", "vat_16", "vat_0", "ieps", "total_amount", "income_tax_withholding_me",
         "tax_rate", "payment_method", "invoice_reference",
-        format_price(F.col("total_amount") - F.col("_ledger_amount")).alias("diff_sat_sap"),
+        format_price_sql("total_amount - _ledger_amount").alias("diff_sat_sap"),
         "amount_in_doc_curr_ieps", "amount_in_doc_curr_iva_traladado",
         F.col("entity"))
 
@@ -111,7 +111,7 @@ def conciliaciones(m: Model) -> DataFrame:
     """V3: V2 with money formatted (derived from V2, not a second copy of
     its logic).  ``format_price`` of NUMERIC rounds to 2 first."""
     raw = raw_data(m)
-    return raw.select(*[format_price(F.col(c), numeric=True).alias(c) if c in MONEY_V3 else F.col(c)
+    return raw.select(*[format_price(c, numeric=True).alias(c) if c in MONEY_V3 else F.col(c)
                         for c in raw.columns])
 
 
