@@ -18,6 +18,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.suffix_tree import suffix_tree_scores
+
+    return suffix_tree_scores(read(spark, sf_dir, "documents"))
+
+
 def op2_contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.sharding import contiguous_shards
 
@@ -55,7 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_contiguous_shards, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
+    own = [op1_suffix_tree, op2_contiguous_shards, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
     return {f.__name__: f for f in own}
 
 
