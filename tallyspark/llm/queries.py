@@ -30,6 +30,15 @@ def op2_contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contiguous_shards(read(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.bpe import encode_documents
+
+    coded = encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(BYTE_BPE))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.compression import compression_bands
 
@@ -61,7 +70,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_suffix_tree, op2_contiguous_shards, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
+    own = [op1_suffix_tree, op2_contiguous_shards, op5_bpe, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
     return {f.__name__: f for f in own}
 
 
