@@ -30,6 +30,12 @@ def op2_contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contiguous_shards(read(spark, sf_dir, "documents"), n_shards=8)
 
 
+def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.rp_forest import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.bpe import encode_documents
 
@@ -70,7 +76,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_suffix_tree, op2_contiguous_shards, op5_bpe, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
+    own = [op1_suffix_tree, op2_contiguous_shards, op3_rp_forest, op5_bpe, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
     return {f.__name__: f for f in own}
 
 
