@@ -36,6 +36,12 @@ def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op4_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.license_scan import license_notices
+
+    return license_notices(read(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.bpe import encode_documents
 
@@ -76,7 +82,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_suffix_tree, op2_contiguous_shards, op3_rp_forest, op5_bpe, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
+    own = [op1_suffix_tree, op2_contiguous_shards, op3_rp_forest, op4_license_notices, op5_bpe, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
     return {f.__name__: f for f in own}
 
 

@@ -29,8 +29,8 @@ class Settings:
     """``sample``: most vectors that the planes are fitted on.  ``leaves``: that a tree aims at.  ``search``: rows,
     with repetition in several trees, that a query's leaves expect, as a share of all rows.  Vectors without any
     clusters need the large share given here, which meets three quarters of all rows, for a recall above 0.9; a tenth
-    of it, with more leaves, does for clustered ones.  ``least``: candidates expected at least, times k; fewer rows are searched whole.
-    ``block``: most rows of a leaf that one task compares at a time."""
+    of it, with more leaves, does for clustered ones.  ``least``: candidates expected at least, times k; fewer rows
+    are searched whole.  ``block``: most rows of a leaf that one task compares at a time."""
 
     trees: int = 6
     leaves: int = 32
@@ -147,7 +147,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """
     spark = vectors.sparkSession
     entries, queries = index_entries(vectors, is_query, k, id_col, vector_col)
-    shape = entries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("square")).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    shape = entries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"),
+                        F.max(square).alias("square")).first()
     wanted = max(s.search, s.trees * min(1.0, s.least * k / max(1, shape["n"])))
     dim, radius = shape["dim"] or 1, float(shape["square"] or 1.0) ** 0.5
     sample = entries.orderBy(F.xxhash64("entry", F.lit(s.seed)), "entry").limit(s.sample).select("v").toArrow()
