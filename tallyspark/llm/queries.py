@@ -51,6 +51,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.chat import recover_roles
+
+    return recover_roles(read(spark, sf_dir, "conversations"))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.compression import compression_bands
 
@@ -82,7 +88,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_suffix_tree, op2_contiguous_shards, op3_rp_forest, op4_license_notices, op5_bpe, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
+    own = [op1_suffix_tree, op2_contiguous_shards, op3_rp_forest, op4_license_notices, op5_bpe, op6_transcript_roles, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
     return {f.__name__: f for f in own}
 
 
