@@ -90,7 +90,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_suffix_tree, op2_contiguous_shards, op3_rp_forest, op4_license_notices, op5_bpe, op6_transcript_roles, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
     return {f.__name__: f for f in own}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tallyspark.llm.packing import Bins, pack, pack_documents
+from tallyspark.llm.packing import Bins, WordIds, pack, pack_documents
 from tallyspark.llm.queries import WORD_BPE, tokenizer
 
 
@@ -65,5 +65,15 @@ def test_pieces_hold_the_tokenizers_ids(request, which):
     assert sum(len(v) for _, v in expected) == sum(len(r.ids) for r in rows)
 
 
+def test_ids_of_random_texts():
+    t, r = Tokenizer.from_file(tokenizer(WORD_BPE)), np.random.default_rng(5)
+    coder = WordIds(open(tokenizer(WORD_BPE), encoding="utf-8").read())
+    alphabets = ["aAbB'st rell dvm09.,#", "".join(map(chr, range(0, 400))), "eE\u0301 \u03a3\u03c3\u0130ſ\u212a \u00a0\u3000中<|>\x01", "<|endoftext|> "]
+    texts = ["".join(r.choice(list(a), r.integers(0, 200))) for a in alphabets for _ in range(60)]
+    texts += ["<|ENDOFTEXT|> <|endoftext|>x", "a\x01b \x01 c", "It'S 'RE ''s don't"]
+    for got, text in zip(coder.encode(texts, 2), texts, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_empty(empty):
     assert pack_documents(empty, tokenizer(WORD_BPE)).collect() == []
