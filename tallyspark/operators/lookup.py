@@ -39,6 +39,8 @@ def _null_salt(base: DataFrame, key: str, spread_by: Sequence[str] | None, bucke
     """Deterministic salt (a hash of row values, not rand(), so a recomputed
     task after executor loss routes every row to the same reducer)."""
     by = list(spread_by) if spread_by else [c for c in base.columns if c != key][:3]
+    if not by:
+        return F.lit(0)
     return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.lit(buckets))
                   ).otherwise(F.lit(0)).cast("int")
 
@@ -114,52 +116,75 @@ def chained_lookup(base: DataFrame, key: str, lookups: Sequence[tuple], aux_key:
     return out
 
 
+MANY_ROWS = "more than one row returned by a scalar lookup"
+
+
+def strict_lookup_table(src: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """One row per key with ``cols`` and the number of rows of the key, ``_n``.  A scalar subquery fails only
+    where it is evaluated, so nothing is raised here: see :func:`one_row`.  The count rides along the same partial
+    aggregation."""
+    return src.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in cols])
+
+
+def one_row(col: Column, n: Column) -> Column:
+    """``col``, or an error for a row whose lookup found ``n`` > 1 rows."""
+    return F.when(n > 1, F.raise_error(F.lit(MANY_ROWS))).otherwise(col)
+
+
+def strict_lookup(base: DataFrame, base_key: str, src: DataFrame, src_key: str, cols: Sequence[str],
+                  rename: dict[str, str] | None = None, spread_by: Sequence[str] | None = None) -> DataFrame:
+    """J5 ``(SELECT col FROM src WHERE src_key = base_key)`` without LIMIT: fails for a base row whose key holds two
+    rows; duplicate keys that no base row asks for do no harm.  NULL base keys are spread over ``NULL_SPREAD``
+    reducers."""
+    rename = rename or {}
+    t = strict_lookup_table(src, src_key, cols).select(
+        F.col(src_key).alias("_k"), F.lit(0).alias("_ks"), "_n", *[F.col(c).alias(f"_v_{c}") for c in cols])
+    out = base.withColumn("_salt", _null_salt(base, base_key, spread_by, NULL_SPREAD))
+    out = out.join(t, (F.col(base_key) == F.col("_k")) & (F.col("_salt") == F.col("_ks")), "left")
+    return out.select(*[F.col(c) for c in base.columns],
+                      *[one_row(F.col(f"_v_{c}"), F.col("_n")).alias(rename.get(c, c)) for c in cols])
+
+
 def exists_switch(base: DataFrame, base_key: str, a: DataFrame, b: DataFrame, src_key: str,
                   cols: Sequence[str], exprs: dict[str, Column] | None = None,
                   strict: bool = True, prefix: str = "") -> DataFrame:
     """J4 ``CASE WHEN EXISTS(row in A) THEN (col from A) ELSE (col from B)``:
     decided per *row*, so a NULL in A does not fall back to B (contrast J1).
-    With ``strict`` (J5) a source holding two rows for one key raises like a
-    scalar subquery returning more than one row.  ``exprs`` are derived
-    columns evaluated on the chosen side (e.g. ``base_16 + cero_nacional``);
-    ``prefix`` names the chosen columns when they clash with the base."""
+    With ``strict`` (J5) a base row whose chosen side holds two rows for its
+    key fails; the other side and keys nobody asks for are not looked at.
+    ``exprs`` are derived columns evaluated on the chosen side (e.g.
+    ``base_16 + cero_nacional``); ``prefix`` names the chosen columns when
+    they clash with the base.  Both sides are tagged and reduced by one
+    aggregation and attached by one left join."""
     exprs = exprs or {}
-    sides = []
     keep = [*cols, *exprs]
-    for tag, src in (("a", a), ("b", b)):
-        # derived columns are written over the source's column names and
-        # evaluated before the per-key reduction
-        s = src.select(src_key, *cols, *[e.alias(n) for n, e in exprs.items()])
-        r = strict_lookup_table(s, src_key, keep) if strict else first_per_key(s, src_key, keep, [src_key])
-        sides.append(r.select(F.col(src_key).alias(f"_{tag}k"), *[F.col(c).alias(f"_{tag}_{c}") for c in keep]))
-    out = base
-    for tag, r in zip(("a", "b"), sides):
-        out = out.join(r, F.col(base_key) == F.col(f"_{tag}k"), "left")
-    in_a = F.col("_ak").isNotNull()
-    chosen = [F.when(in_a, F.col(f"_a_{c}")).otherwise(F.col(f"_b_{c}")).alias(prefix + c) for c in keep]
+    both = None
+    for tag, src in ((0, a), (1, b)):
+        # derived columns are written over the source's column names and evaluated before the per-key reduction
+        s = src.select(src_key, *cols, *[e.alias(n) for n, e in exprs.items()], F.lit(tag).alias("_src"))
+        both = s if both is None else both.unionByName(s)
+    aggs = []
+    for tag in (0, 1):
+        mine = F.col("_src") == tag
+        aggs += [F.count(F.when(mine, 1)).alias(f"_n{tag}"),
+                 F.first(F.when(mine, F.struct(*keep)), ignorenulls=True).alias(f"_s{tag}")]
+    r = both.groupBy(src_key).agg(*aggs).withColumnRenamed(src_key, "_k")
+    out = base.join(r, F.col(base_key) == F.col("_k"), "left")
+    in_a = F.coalesce(F.col("_n0") > 0, F.lit(False))
+    n = F.when(in_a, F.col("_n0")).otherwise(F.col("_n1")) if strict else F.lit(1)
+    chosen = [one_row(F.when(in_a, F.col(f"_s0.{c}")).otherwise(F.col(f"_s1.{c}")), n).alias(prefix + c) for c in keep]
     return out.select(*[F.col(c) for c in base.columns], in_a.alias("_in_a"), *chosen)
 
 
-def strict_lookup_table(src: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """One row per key, raising (``assert_true``) when a key holds more
-    than one row -- the join form of a scalar subquery without LIMIT.  The
-    count rides along the same partial aggregation."""
-    g = (src.groupBy(key)
-         .agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in cols]))
-    return (g.withColumn("_ok", F.assert_true(F.col("_n") <= 1,
-                                              F.lit("more than one row returned by a scalar lookup")))
-            .where(F.col("_ok").isNull())
-            .drop("_n", "_ok"))
-
-
 def bank_via_ledger(base: DataFrame, base_key: str, ledger: DataFrame, ledger_ref: str, ledger_doc: str,
                     bank: DataFrame, bank_doc: str, bank_cols: Sequence[str], strict: bool = True) -> DataFrame:
     """J6 two-hop semi join: the bank row whose ``bank_doc`` is ``IN (SELECT
     ledger_doc FROM ledger WHERE ledger_ref = base_key)``.  Distinct
     (ref, doc) pairs are joined to the bank on the document, then attached by
-    reference; ``strict`` raises when a reference reaches two bank rows."""
+    reference; with ``strict`` a base row that reaches two bank rows fails."""
     pairs = ledger.select(F.col(ledger_ref).alias("_ref"), F.col(ledger_doc).alias("_doc")).distinct()
     hop = pairs.join(bank.select(F.col(bank_doc).alias("_doc"), *bank_cols), "_doc", "inner").drop("_doc")
-    per_ref = strict_lookup_table(hop, "_ref", bank_cols) if strict else \
-        first_per_key(hop, "_ref", bank_cols, list(bank_cols))
+    if strict:
+        return strict_lookup(base, base_key, hop, "_ref", list(bank_cols))
+    per_ref = first_per_key(hop, "_ref", bank_cols, list(bank_cols))
     return base.join(per_ref, F.col(base_key) == F.col("_ref"), "left").drop("_ref")

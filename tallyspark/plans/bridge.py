@@ -39,14 +39,6 @@ LEDGER_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_
 AUX_ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
 LINE_ORDER = LEDGER_ORDER
 
-# Tables whose scans are rebalanced when they yield fewer splits than the
-# session's parallelism (a no-op on a cluster, where scans are already split).
-# Only the invoice side (orders): it is the probe side of every view, so the
-# whole join chain and per-row projection run inside its scan stage; spreading
-# it took V2 from 23 s to 9.5 s at sf0.1.  Spreading lineitem (aggregated
-# right after the scan) added a shuffle stage and measured slower.
-SPREAD_TABLES: tuple[str, ...] = ("orders",)
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -76,8 +68,7 @@ class Model:
         reads happen once; the plan is still re-evaluated per query)."""
         if name not in self._tables:
             path = f"{self.sf_dir}/{name}.parquet"
-            self._tables[name] = (read_table(self.spark, path) if name in SPREAD_TABLES
-                                  else self.spark.read.parquet(path))
+            self._tables[name] = read_table(self.spark, path)
         return self._tables[name]
 
     # ---------------------------------------------------------------- invoices

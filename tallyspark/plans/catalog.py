@@ -20,7 +20,7 @@ from ..functions.money import format_price, money_text
 from ..operators import aggregates as A
 from ..operators import filters as FL
 from ..operators.clean import credits_only
-from ..operators.lookup import bank_via_ledger, exists_switch, priority_lookup, strict_lookup_table
+from ..operators.lookup import bank_via_ledger, exists_switch, priority_lookup, strict_lookup
 from ..operators.match import attach_bank, first_match_per_clearing, match_on_amount, with_status
 from ..operators.paging import order_by_clearing, page, top_clients
 from ..operators.prorate import sap_sums, with_prorating
@@ -175,9 +175,32 @@ def _j4(m):
 
 @q("j5_strict_lookup")
 def _j5(m):
-    t = strict_lookup_table(m.iva_bcs, "reference", ["doc_number", "base_16"])
-    inv = m.cfdi.select("folio_interno")
-    return inv.join(t, inv.folio_interno == t.reference, "left").select("folio_interno", "doc_number", "base_16")
+    return strict_lookup(m.cfdi.select("folio_interno"), "folio_interno", m.iva_bcs, "reference",
+                         ["doc_number", "base_16"])
+
+
+def _lines_per_invoice(m):
+    """Invoices with the number of their rows in each entity's ledger (not grouped: keys repeat)."""
+    flag = F.col("l_returnflag")
+    return m.table("orders").select(F.col("o_orderkey").alias("folio_interno")).join(
+        m.table("lineitem").groupBy(F.col("l_orderkey").alias("_k")).agg(
+            F.count(F.when(flag == "A", 1)).alias("_a"), F.count(F.when(flag == "R", 1)).alias("_b")),
+        F.col("folio_interno") == F.col("_k"), "left")
+
+
+@q("j4_exists_switch_ungrouped")
+def _j4u(m):
+    """Ledgers with repeated keys: of the chosen side, only keys that are unique are asked for."""
+    base = _lines_per_invoice(m).where("_a = 1 or (_a = 0 and _b <= 1)").select("folio_interno")
+    return exists_switch(base, "folio_interno", m.ledger_a, m.ledger_b, "reference",
+                         ["clearing_document", "account", "amount_in_local_currency"]).withColumnRenamed("_in_a", "in_a")
+
+
+@q("j5_strict_lookup_ungrouped")
+def _j5u(m):
+    """Keys that repeat in the ledger but that no row asks for do not fail the lookup."""
+    base = _lines_per_invoice(m).where("_b <= 1").select("folio_interno")
+    return strict_lookup(base, "folio_interno", m.ledger_b, "reference", ["clearing_document", "amount_in_local_currency"])
 
 
 @q("j6_bank_via_ledger")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import date_text_dmy
 from ..functions.money import format_price, format_price_sql
 from ..operators.filters import InvoiceFilter, valid_invoices
-from ..operators.lookup import bank_via_ledger, chained_lookup, exists_switch, priority_lookup
+from ..operators.lookup import chained_lookup, exists_switch, priority_lookup, strict_lookup
 from ..operators.prorate import sap_sums, with_prorating
 from .bridge import AUX_ORDER, LEDGER_ORDER, Model
 
@@ -73,25 +73,17 @@ def raw_data(m: Model) -> DataFrame:
                      F.col("sap_clearing_doc").alias("clearing_document_sap"),
                      F.col("sap_subtotal_sap").alias("subtotal_sap"), F.col("sap_iva").alias("iva_sap"),
                      F.col("sap_ieps").alias("ieps_sap"), F.col("sap_total_aplicacion_sap").alias("total_aplicacion_sap"))
-    # J6 for each entity, then the per-row switch of J4.
-    bank_cols = ["depositos", "bank_nombre", "value_date"]
-    bancos = m.bancos.withColumnRenamed("nombre", "bank_nombre")
-    for tag, led in (("a", m.iva_bcs), ("b", m.iva_bhc)):
-        sap = bank_via_ledger(sap, "folio_interno", led, "reference", "doc_number",
-                              bancos, "document_number", bank_cols, strict=True)
-        sap = sap.select(*[c for c in sap.columns if c not in bank_cols],
-                         *[F.col(c).alias(f"_{tag}_{c}") for c in bank_cols])
-    pick = {c: F.when(F.col("_in_a"), F.col(f"_a_{c}")).otherwise(F.col(f"_b_{c}")) for c in bank_cols}
-    sap = sap.select(*inv.columns, pick["depositos"].alias("depositos"),
-                     pick["bank_nombre"].alias("nombre_del_banco"), pick["value_date"].alias("fecha_deposito"),
-                     "document_number_sap", "clearing_document_sap", "subtotal_sap", "iva_sap", "ieps_sap",
-                     "total_aplicacion_sap")
+    # The chosen ledger row's document is unique per invoice, so the bank is one hop from it
+    bancos = m.bancos.select(F.col("document_number").alias("_doc"), F.col("depositos"),
+                             F.col("nombre").alias("nombre_del_banco"), F.col("value_date").alias("fecha_deposito"))
+    sap = strict_lookup(sap, "document_number_sap", bancos, "_doc",
+                        ["depositos", "nombre_del_banco", "fecha_deposito"], spread_by=["folio_interno"])
     pays = m.payments.select("id_documento", "uuid_complemento", "importe_pagado")
     joined = sap.join(pays, sap.uuid_fiscal == pays.id_documento, "left").drop("id_documento")
     out = with_prorating(joined, total="total_cfdi", paid="importe_pagado", subtotal="subtotal",
                          iva="iva", ieps="ieps", complement="uuid_complemento")
     return out.select(
-        F.col("folio_interno").alias("factura_bayer"), F.col("nombre").alias("cliente"),
+        F.col("folio_interno").alias("factura"), F.col("nombre").alias("cliente"),
         F.col("tipo_comprobante").alias("transaccion"), "rfc", F.col("fecha_emision").alias("fecha"),
         "estado", F.col("uuid_fiscal").alias("uuid"), "subtotal", "iva", "ieps",
         F.col("total_cfdi").alias("total"), "depositos", "nombre_del_banco", "fecha_deposito",

@@ -6,15 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str, min_partitions: int | None = None) -> DataFrame:
-    """Parquet scan.  When the scan yields fewer input splits than the
-    session can run in parallel (e.g. one file with a single row group), the
-    rows are spread round-robin first so per-row work and partial
-    aggregation are not confined to one task.  On a cluster reading many
-    large files the split count exceeds the parallelism and this adds
-    nothing."""
-    df = spark.read.parquet(path)
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        df = df.repartition(want)
-    return df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet scan."""
+    return spark.read.parquet(path)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators.lookup import (bank_via_ledger, chained_lookup, exists_switch, first_per_key,
-                                         priority_lookup, strict_lookup_table)
+                                         priority_lookup, strict_lookup)
 from tallyspark.operators.match import (STATUS_IN_PROCESS, STATUS_MANUAL, STATUS_MATCHED, attach_bank,
                                         first_match_per_clearing, match_on_amount, with_status)
 
@@ -46,10 +46,24 @@ def test_exists_switch_has_no_per_column_fallback(spark):
     assert got == {1: (None, D("1.00")), 2: (66, D("3.00"))}
 
 
-def test_strict_lookup_raises_on_two_rows(spark):
-    t = spark.createDataFrame([(1, 5), (1, 6)], "reference bigint, doc bigint")
+def test_exists_switch_looks_at_the_chosen_side_only(spark):
+    cols = "reference bigint, doc bigint"
+    a = spark.createDataFrame([(1, 5), (3, 8), (3, 9)], cols)
+    b = spark.createDataFrame([(1, 6), (1, 7), (2, 4), (9, 1), (9, 2)], cols)
+    base = spark.createDataFrame([(1,), (2,)], "folio bigint")
+    got = {r.folio: r.doc for r in exists_switch(base, "folio", a, b, "reference", ["doc"]).collect()}
+    assert got == {1: 5, 2: 4}
+    for key in (3, 9):  # two rows on the chosen side
+        with pytest.raises(Exception, match="more than one row"):
+            exists_switch(spark.createDataFrame([(key,)], "folio bigint"), "folio", a, b, "reference", ["doc"]).collect()
+
+
+def test_strict_lookup_raises_for_asked_keys_only(spark):
+    t = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "reference bigint, doc bigint")
+    base = spark.createDataFrame([(2, "x"), (None, "y")], "folio bigint, name string")
+    assert {r.name: r.doc for r in strict_lookup(base, "folio", t, "reference", ["doc"]).collect()} == {"x": 7, "y": None}
     with pytest.raises(Exception, match="more than one row"):
-        strict_lookup_table(t, "reference", ["doc"]).collect()
+        strict_lookup(spark.createDataFrame([(1,)], "folio bigint"), "folio", t, "reference", ["doc"]).collect()
 
 
 def test_bank_via_ledger(spark):

@@ -98,17 +98,3 @@ def test_require_header_exact_case_insensitive(spark):
     df = spark.createDataFrame([(1, 2)], "A int, b int")
     assert require_header(df, ["a", "B"]) and not require_header(df, ["b", "a"])
 
-
-def test_read_table_spreads_only_below_parallelism(spark):
-    """A scan with fewer splits than the session's parallelism is spread
-    round-robin; one with enough splits is left as it is.  Rows never change."""
-    from tallyspark.sources.tables import read_table
-    path = "/root/testdata/sf0.001/orders.parquet"
-    plain = spark.read.parquet(path)
-    want = spark.sparkContext.defaultParallelism
-    spread = read_table(spark, path)
-    assert spread.rdd.getNumPartitions() >= min(want, plain.count())
-    assert sorted(spread.collect()) == sorted(plain.collect())
-    splits = plain.rdd.getNumPartitions()
-    same = read_table(spark, path, min_partitions=splits)
-    assert same.rdd.getNumPartitions() == splits
