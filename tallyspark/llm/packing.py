@@ -9,9 +9,12 @@ most one padded sequence in a group.
 
 from __future__ import annotations
 
+import gc
 import os
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.bpe import byte_characters
 from tallyspark.llm.common import schema_with
 from tallyspark.session import materialize
 
 #: Different words of a task whose ids are kept at a time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 class Bins:
@@ -91,8 +95,17 @@ def fill_gaps(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[lis
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer that drops white space and never joins what stands on both sides of it:
-    the tokenizer itself encodes each different run between ASCII white space once."""
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space and ends words at its own expression.
+
+    A text of plain characters (ASCII, the letters of western Europe, common punctuation: those on which the
+    tokenizer's normalizer only lower-cases) is cut by that expression here, and the tokenizer's model encodes each
+    different part once.  Any other text goes to the tokenizer whole.
+    """
+
+    #: Fixed: the tokenizer's pre-token expression on plain characters in lower case.
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-z0-9ß-öø-ÿ]+")
+    #: Anything but plain characters; a special token's string counts with it.
+    OTHER = re.compile(r"[^\x20-\x7E\x09-\x0D¡¿«»À-ÿ–—‘’“”…€]|<\|")
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,20 +114,25 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.stands_for = {b: c for c, b in byte_characters().items()}
+
+    def learn(self, parts: Iterable[str]) -> None:
+        model, stands_for = self.tokenizer.model.tokenize, self.stands_for
+        for part in parts:
+            text = part if part.isascii() else part.encode().decode("latin-1").translate(stands_for)
+            ids = [t.id for t in model(text)]
+            self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """For each text, its ids and the end id as little-endian unsigned 32-bit integers."""
-        split = [t.encode().split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(set().union(*split).difference(self.known))
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        end = np.array([end_id], dtype="<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) + end for ws in split]
+        cut = [None if self.OTHER.search(t) else self.PARTS.findall(t.lower()) for t in texts]
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {}
+        self.learn(set().union(*(c for c in cut if c)).difference(self.parts))
+        end = struct.pack("<I", end_id)
+        return [(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if c is None
+                 else b"".join(map(self.parts.__getitem__, c))) + end for t, c in zip(texts, cut, strict=True)]
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -129,16 +147,20 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str,
         from pyspark import TaskContext
 
         coder, key = WordIds(spec), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = coder.encode([t or "" for t in part.column(1).to_pylist()], end_id)
-                short = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(range(key, key + len(ids)), pa.int64()),
-                     pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(short, pa.binary())],
-                    [id_col, "row_key", "n_tokens", "ids"])
-                key += len(ids)
+        gc.disable()  # nothing here makes cycles, and the collector would walk the kept ids again and again
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    ids = coder.encode([t or "" for t in part.column(1).to_pylist()], end_id)
+                    short = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in ids]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(range(key, key + len(ids)), pa.int64()),
+                         pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(short, pa.binary())],
+                        [id_col, "row_key", "n_tokens", "ids"])
+                    key += len(ids)
+        finally:
+            gc.enable()
 
     table = docs.select(id_col, text_col).mapInArrow(
         encode, schema_with(docs, [id_col], "row_key long, n_tokens long, ids binary"))

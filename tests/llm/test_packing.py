@@ -68,7 +68,7 @@ def test_pieces_hold_the_tokenizers_ids(request, which):
 def test_ids_of_random_texts():
     t, r = Tokenizer.from_file(tokenizer(WORD_BPE)), np.random.default_rng(5)
     coder = WordIds(open(tokenizer(WORD_BPE), encoding="utf-8").read())
-    alphabets = ["aAbB'st rell dvm09.,#", "".join(map(chr, range(0, 400))), "eE\u0301 \u03a3\u03c3\u0130ſ\u212a \u00a0\u3000中<|>\x01", "<|endoftext|> "]
+    alphabets = ["aAbB'st rell dvm09.,#", "aÀÉßöøÿ÷×¿¡«»–—‘’“”…€ 'S.8\n\t", "".join(map(chr, [*range(32, 127), *range(192, 256)])), "".join(map(chr, range(0, 400))), "eE\u0301 \u03a3\u03c3\u0130ſ\u212a \u00a0\u3000中<|>\x01", "<|endoftext|> "]
     texts = ["".join(r.choice(list(a), r.integers(0, 200))) for a in alphabets for _ in range(60)]
     texts += ["<|ENDOFTEXT|> <|endoftext|>x", "a\x01b \x01 c", "It'S 'RE ''s don't"]
     for got, text in zip(coder.encode(texts, 2), texts, strict=True):
