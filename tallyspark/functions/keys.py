@@ -9,12 +9,22 @@ from .._util import as_col
 
 
 def norm_key(c) -> Column:
-    """Q6 ``str(int(x))``: ``"123.0"`` -> ``"123"``, ``"123.9"`` -> ``"123"``
-    (truncation toward zero, via DECIMAL so ids above 2^53 stay exact);
-    alphanumeric references are kept trimmed; NULL stays NULL."""
+    """Q6 ``str(int(x))`` for document and account numbers, on both ends of a lookup.  Numbers written as decimals lose their fraction
+    (``"123.0"`` -> ``"123"``, ``"123.9"`` -> ``"123"``), leading zeros and a plus sign; everything else that is not
+    plain digits with an optional sign and fraction (``"12E3"``, ``"INV-1"``) stays as trimmed text.  Digits are cut as
+    text, so ids of any length stay exact; ``"-0"`` is ``"0"``; blank is NULL."""
     s = F.trim(as_col(c).cast("string"))
-    as_int = s.try_cast("decimal(38,6)").try_cast("bigint").cast("string")
-    return F.coalesce(as_int, F.nullif(s, F.lit("")))
+    plain = r"^([+-]?)0*(\d+?)(?:\.\d*)?$"
+    digits = F.regexp_extract(s, plain, 2)
+    sign = F.when((F.regexp_extract(s, plain, 1) == "-") & (digits != "0"), F.lit("-")).otherwise(F.lit(""))
+    return F.when(s.rlike(plain), F.concat(sign, digits)).otherwise(F.nullif(s, F.lit("")))
+
+
+def text_key(c) -> Column:
+    """Q6 for keys that are text (reference, folio, assignment): trimmed, leading zeros kept; only the zero fraction
+    that a spreadsheet adds to a whole number goes (``"0012.0"`` -> ``"0012"``); blank is NULL."""
+    s = F.trim(as_col(c).cast("string"))
+    return F.nullif(F.regexp_replace(s, r"^([+-]?\d+)\.0+$", "$1"), F.lit(""))
 
 
 def dec_comma(c, scale: int = 5) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -33,10 +33,6 @@ def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def has_columns(df: DataFrame, cols: Sequence[str]) -> bool:
-    return all(c in df.columns for c in cols)
-
-
 def require_header(df: DataFrame, cols: Sequence[str]) -> bool:
     """Q2: exact header, case-insensitive, order-sensitive."""
     return [c.lower() for c in df.columns] == [c.lower() for c in cols]
@@ -50,16 +46,30 @@ def strip_chars(df: DataFrame, chars: str = "'") -> DataFrame:
                        for f in df.schema.fields])
 
 
-def drop_last(df: DataFrame, n: int, line_col: str, file_col: str = "file_name") -> DataFrame:
-    """Q4: drop the last ``n`` rows of every file (trailing total rows);
-    ``line_col`` must be numeric (a landed text column is cast first).
-    The last line number per file comes from a partial aggregation joined
-    back on the file, so a huge file is never sorted on one task."""
+def trailing_rows(df: DataFrame, n: int, line_col: str, file_col: str = "file_name") -> DataFrame:
+    """(``file_col``, ``_first``): of each file, the number of the first of its last ``n`` rows by ``line_col``, read
+    as a number (a landed column is text) and whatever gaps the numbering has.  A limit on the rank reaches the rows
+    before they are exchanged, so a huge file sends ``n`` rows a task."""
+    line = F.col(line_col).try_cast("bigint")
+    last = df.where(line.isNotNull()).select(file_col, line.alias("_line")).withColumn(
+        "_r", F.row_number().over(Window.partitionBy(file_col).orderBy(F.desc("_line")))).where(F.col("_r") <= n)
+    return last.groupBy(file_col).agg(F.min("_line").alias("_first"))
+
+
+def split_last(df: DataFrame, n: int, line_col: str, file_col: str = "file_name") -> tuple[DataFrame, DataFrame]:
+    """Q4: (rows but the last ``n`` of every file, those last rows).  A row whose line number is no number is none of
+    the last."""
     if n <= 0:
-        return df
-    last = df.groupBy(file_col).agg(F.max(line_col).alias("_last"))
-    return (df.join(last, file_col, "inner")
-            .where(F.col(line_col) <= F.col("_last") - F.lit(n)).drop("_last"))
+        return df, df.limit(0)
+    tagged = df.join(trailing_rows(df, n, line_col, file_col), file_col, "left")
+    last = F.coalesce(F.col(line_col).try_cast("bigint") >= F.col("_first"), F.lit(False))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return tagged.where(~last).select(own), tagged.where(last).select(own)
+
+
+def drop_last(df: DataFrame, n: int, line_col: str, file_col: str = "file_name") -> DataFrame:
+    """Q4: all rows but the last ``n`` of every file (trailing total rows)."""
+    return split_last(df, n, line_col, file_col)[0]
 
 
 def drop_markers(df: DataFrame, col: str, text: str = "Cleared/open") -> DataFrame:
@@ -72,20 +82,6 @@ def credits_only(df: DataFrame, col: str = "posting_amount") -> DataFrame:
     return df.where(trunc_int(col) > 0)
 
 
-def with_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
-    """Q16/Q17: NOT NULL defaults (0 amounts, '' receiver fields, state)."""
-    return df.select(*[F.coalesce(F.col(c), F.lit(defaults[c]).cast(df.schema[c].dataType)).alias(c)
-                       if c in defaults else F.col(c) for c in df.columns])
-
-
-def with_lineage(df: DataFrame, load_date=None, url_col: str = "s3_url", name_col: str = "file_name") -> DataFrame:
-    """Q18: source path and the dated registry name ``dd-MM-yyyy/<file>``.
-    Must be applied to a file-source DataFrame (reads ``_metadata``)."""
-    d = F.current_date() if load_date is None else F.lit(load_date).cast("date")
-    return df.select("*", F.col("_metadata.file_path").alias(url_col),
-                     F.concat(F.date_format(d, "dd-MM-yyyy"), F.lit("/"), F.col("_metadata.file_name")).alias(name_col))
-
-
 @dataclass(frozen=True)
 class Rule:
     """A row rule: ``ok`` must be true, else the row is rejected with ``name``."""
@@ -93,20 +89,6 @@ class Rule:
     ok: Column
 
 
-def mandatory(cols: Sequence[str], typed: dict[str, str] | None = None) -> list[Rule]:
-    """Q12: a present value for each column; for typed columns the text
-    must also parse (``try_cast`` is NULL when it does not)."""
-    typed = typed or {}
-    rules = []
-    for c in cols:
-        v = as_col(f"`{c}`")
-        ok = v.isNotNull() & (F.trim(v.cast("string")) != F.lit(""))
-        if c in typed:
-            ok = ok & F.regexp_replace(F.trim(v.cast("string")), ",", ".").try_cast(typed[c]).isNotNull()
-        rules.append(Rule(f"missing_or_invalid:{c}", ok))
-    return rules
-
-
 def split_rejects(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
     """Q11: (good rows, rejected rows with ``reject_reason``).  Both sides
     filter the same plan; persist or cut lineage (``materialize``) upstream
@@ -179,13 +161,15 @@ def canonicalise(df: DataFrame, spec: LedgerSpec) -> DataFrame:
     one projection.  Key-like columns go through ``norm_key``; numbers
     accept a decimal comma; dates try each format (bad text -> NULL)."""
     from ..functions.dates import parse_ts
-    from ..functions.keys import dec_comma, norm_key, nz_string
+    from ..functions.keys import dec_comma, norm_key, nz_string, text_key
     out = []
     for canon, header in spec.columns.items():
         src = F.col(f"`{header}`") if header in df.columns else F.lit(None).cast("string")
         t = spec.types.get(canon, "string")
         if t == "key":
             e = norm_key(src)
+        elif t == "text_key":
+            e = text_key(src)
         elif t.startswith("decimal") or t in ("double", "float"):
             e = dec_comma(src, int(t.split(",")[1].rstrip(")")) if t.startswith("decimal") else 5).cast(t)
         elif t in ("bigint", "int"):
@@ -197,19 +181,21 @@ def canonicalise(df: DataFrame, spec: LedgerSpec) -> DataFrame:
             e = nz_string(src)
         out.append(e.alias(canon))
     passthrough = [F.col(c) for c in ("file_name", "s3_url", "line_no", "sheet") if c in df.columns]
+    if "line_no" in df.columns:
+        passthrough.append(F.col("line_no").try_cast("bigint").alias("ingest_seq"))
     return df.select(*out, *passthrough)
 
 
 def spec_rules(df: DataFrame, spec: LedgerSpec) -> list[Rule]:
-    """Q12 rules of a spec evaluated on the landed text columns."""
-    typed = {c: ("decimal(38,6)" if spec.types.get(c, "string") in ("key", "bigint", "int")
-                 or spec.types.get(c, "").startswith("decimal") else "string") for c in spec.mandatory}
+    """Q12 rules of a spec evaluated on the landed text columns: present, and a number where its type is one."""
     rules = []
     for c in spec.mandatory:
-        header = spec.columns[c]
-        v = F.col(f"`{header}`") if header in df.columns else F.lit(None).cast("string")
-        ok = v.isNotNull() & (F.trim(v) != F.lit(""))
-        if typed[c] != "string":
-            ok = ok & F.regexp_replace(F.trim(v), ",", ".").try_cast(typed[c]).isNotNull()
+        header, t = spec.columns[c], spec.types.get(c, "string")
+        v = F.trim(F.col(f"`{header}`")) if header in df.columns else F.lit(None).cast("string")
+        ok = v.isNotNull() & (v != F.lit(""))
+        if t == "key":
+            ok = ok & v.rlike(r"^[+-]?\d+(\.\d*)?$")
+        elif t in ("bigint", "int") or t.startswith("decimal"):
+            ok = ok & F.regexp_replace(v, ",", ".").try_cast("decimal(38,6)").isNotNull()
         rules.append(Rule(f"invalid:{c}", ok))
     return rules

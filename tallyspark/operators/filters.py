@@ -66,7 +66,8 @@ def since(c, start) -> Column:
 @dataclass(frozen=True)
 class InvoiceFilter:
     """the listing's optional filters with the reference's precedence:
-    a full date range wins and blanks the month filter.  None and '' both
+    a full date range wins and blanks the month filter; a lone start or end
+    date bounds one side beside it.  None and '' both
     mean "not given" (deliberate: the reference turns None bounds into
     ``BETWEEN NULL AND NULL``, an empty result)."""
 
@@ -82,7 +83,8 @@ class InvoiceFilter:
 
     @property
     def effective_month(self) -> str | None:
-        return None if self.has_range or blank(self.month) else self.month
+        full = not blank(self.start) and not blank(self.end)
+        return None if full or blank(self.month) else self.month
 
     def predicate(self, date_col: str = "cfdi_date", rfc_col: str = "rfc",
                   client_col: str = "client_name") -> Column:

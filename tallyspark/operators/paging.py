@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,3 +30,18 @@ def page(df: DataFrame, number: int, size: int, order_by: Sequence[str | Column]
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
     return df.orderBy(*[as_col(o) for o in order_by]).offset((number - 1) * size).limit(size)
+
+
+def page_after(df: DataFrame, order_by: Sequence[str], last: Sequence | None, size: int) -> DataFrame:
+    """L4 by keys: the ``size`` rows that follow the row with the values ``last`` in ``order_by`` (ascending, NULLs
+    last; a total order); None: the first page.  Any depth costs a filter and each task's top ``size``, where an offset
+    would carry all earlier rows."""
+    keys = [F.col(c) for c in order_by]
+    if last is not None:
+        tests = []
+        for i, (key, value) in enumerate(zip(keys, last, strict=True)):
+            same = [k.eqNullSafe(F.lit(v)) for k, v in zip(keys[:i], last[:i], strict=True)]
+            beyond = F.lit(False) if value is None else key.isNull() | (key > F.lit(value))
+            tests.append(reduce(lambda a, b: a & b, [*same, beyond]))
+        df = df.where(reduce(lambda a, b: a | b, tests))
+    return df.orderBy(*[k.asc_nulls_last() for k in keys]).limit(size)

@@ -58,6 +58,8 @@ def tax_amount():
 class Model:
     """Lazily derived model tables over one scale-factor folder."""
 
+    ledger_order, aux_order = LEDGER_ORDER, AUX_ORDER
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import date_text_dmy, date_text_iso, parse_ts, ts_text
-from ..functions.keys import dec_comma, money, norm_key, trunc_int
+from ..functions.keys import dec_comma, money, norm_key, text_key, trunc_int
 from ..functions.money import format_price, money_text
 from ..operators import aggregates as A
 from ..operators import filters as FL
@@ -160,8 +160,7 @@ def _j2(m):
 
 @q("j3_left_payments")
 def _j3(m):
-    inv, pay = m.cfdi, m.payments
-    return inv.join(pay, inv.uuid_fiscal == pay.id_documento, "left").select(
+    return R.invoices_with_payments(m.cfdi, m.payments).select(
         "folio_interno", "uuid_fiscal", "uuid_complemento", "importe_pagado")
 
 
@@ -246,8 +245,7 @@ def _j9(m):
 @q("j10_income_by_client")
 def _j10(m):
     """Corrected form: invoices filtered on their own date."""
-    sat = m.sat.where(FL.between_dates("cfdi_date", RANGE.start, RANGE.end))
-    return A.income_by_client(sat)
+    return R.income_in_range(m.sat, RANGE.start, RANGE.end)
 
 
 @q("j10_income_by_client_crossed")
@@ -508,22 +506,12 @@ def _x18p(m):
 
 @q("x19_tax_validator")
 def _x19(m):
-    v = _view(m)
-    out = v.agg(F.sum("amount_in_doc_curr_iva_traladado").alias("ledger_vat"), F.sum("vat_16").alias("sat_vat"),
-                F.sum("amount_in_doc_curr_ieps").alias("ledger_ieps"), F.sum("ieps").alias("sat_ieps"))
-    return out.select("*", (F.col("ledger_vat") - F.col("sat_vat")).alias("vat_variance"),
-                      (F.col("ledger_ieps") - F.col("sat_ieps")).alias("ieps_variance"),
-                      F.signum(F.col("ledger_vat") - F.col("sat_vat")).alias("vat_sign"),
-                      F.signum(F.col("ledger_ieps") - F.col("sat_ieps")).alias("ieps_sign"))
+    return R.tax_validator(_view(m))
 
 
 @q("x20_income_vs_collected")
 def _x20(m):
-    inc = m.sat.agg(F.sum("total_amount").cast("double").alias("value")).select(
-        F.lit("total_income").alias("metric"), "value")
-    exp = m.bank_events.agg(F.sum("posting_amount").cast("double").alias("value")).select(
-        F.lit("total_expenses").alias("metric"), "value")
-    return inc.unionByName(exp)
+    return R.income_vs_collected(m.sat, m.bank_events)
 
 
 @q("x21_entity_label")
@@ -534,11 +522,24 @@ def _x21(m):
 # ------------------------------------------------------ cleaning with SQL
 @q("q6_norm_key")
 def _q6(m):
-    li = m.table("lineitem")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                     norm_key(F.concat(F.col("l_orderkey").cast("string"), F.lit(".0"))).alias("k_float"),
-                     norm_key(money("l_extendedprice").cast("string")).alias("k_price"),
-                     norm_key(F.concat(F.lit(" INV-"), F.col("l_linenumber").cast("string"), F.lit(" "))).alias("k_alpha"))
+    key, s = F.col("l_orderkey").cast("string"), "string"
+    return m.table("lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", norm_key(F.concat(key, F.lit(".0"))).alias("k_float"),
+        norm_key(money("l_extendedprice")).alias("k_price"),
+        norm_key(F.concat(F.lit(" INV-"), F.col("l_linenumber").cast(s), F.lit(" "))).alias("k_alpha"),
+        norm_key(F.concat(key, F.lit("E3"))).alias("k_exp"), norm_key(F.concat(F.lit("00"), key)).alias("k_zeros"),
+        norm_key(F.concat(F.lit("12345678901234567890"), key)).alias("k_long"),
+        text_key(F.concat(F.lit(" 00"), key, F.lit(" "))).alias("t_zeros"),
+        text_key(F.concat(F.lit("00"), key, F.lit(".0"))).alias("t_float"))
+
+
+@q("j1_padded_reference")
+def _j1p(m):
+    """Folio ``0012`` meets reference ``0012`` that a sheet wrote as ``0012.0``: both ends by one function."""
+    folio = text_key(F.concat(F.lit("00"), F.col("o_orderkey").cast("string"))).alias("folio")
+    ledger = m.ledger_a.withColumn("reference", text_key(F.concat(F.lit("00"), F.col("reference").cast("string"), F.lit(".0"))))
+    return priority_lookup(m.table("orders").select(folio), [ledger], "folio", "reference", ["clearing_document"],
+                           ["clearing_document"]).where(F.col("clearing_document").isNotNull())
 
 
 @q("q7_dec_comma")
@@ -621,6 +622,34 @@ def _v8t(m):
     return R.dashboard_top_clients(m, 5)
 
 
+@q("v7_bank_page_after")
+def _v7k(m):
+    """The first page's last row, then the page behind it."""
+    first = R.bank_page_after(m, None, 200, *EVENT_RANGE).orderBy("book_date", "bank_name", "ref").tail(1)[0]
+    return R.bank_page_after(m, (first.book_date, first.bank_name, first.ref), 200, *EVENT_RANGE)
+
+
+@q("v7_bank_page_info")
+def _v7i(m):
+    return R.bank_page_info(m, 200, *EVENT_RANGE)
+
+
+@q("v8_dashboard")
+def _v8d(m):
+    """Every part of the dashboard in long form; both ranges hold some rows only."""
+    d = R.dashboard_page(m, RANGE.start, EVENT_RANGE[1])
+    name = lambda part, key, value: (F.lit(part).alias("part"), F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
+    parts = [d.totals.select(*name("total", "metric", "value")), d.income.select(*name("income", "metric", "value")),
+             d.clients.select(*name("client", "client_name", "sum_total_amount")),
+             d.banks.select(*name("bank", "bank_name", "total_posting_amount")),
+             d.taxes.agg(F.sum("vat_16").cast("double").alias("v"), F.sum("ieps").cast("double").alias("i")).selectExpr("stack(2, 'vat_16', v, 'ieps', i) as (k, v)")
+             .select(*name("tax", "k", "v"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @q("v9_filter_choices")
 def _v9(m):
     return R.filter_choices(m)

@@ -505,12 +505,19 @@ def oracle_sql() -> dict[str, str]:
         "UNION ALL SELECT 'total_expenses', CAST(SUM(posting_amount) AS DOUBLE) FROM bank_ev)"))
     O["x21_entity_label"] = _q(["v1"], fin("receipt_number:i entity:s", "v1"))
 
-    O["q6_norm_key"] = fin("l_orderkey:i l_linenumber:i l_partkey:i l_suppkey:i k_float:s k_price:s k_alpha:s",
-        "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(
-            f"COALESCE(CAST(CAST(trunc(TRY_CAST(trim({e}) AS DECIMAL(38,6))) AS BIGINT) AS VARCHAR), NULLIF(trim({e}), '')) AS {n}"
-            for e, n in [("CAST(l_orderkey AS VARCHAR) || '.0'", "k_float"),
-                         ("CAST(CAST(l_extendedprice AS DECIMAL(20,2)) AS VARCHAR)", "k_price"),
-                         ("' INV-' || CAST(l_linenumber AS VARCHAR) || ' '", "k_alpha")]) + " FROM lineitem)")
+    number = r"^[+-]?\\d+(\\.\\d*)?$".replace("\\\\", "\\")
+    whole = lambda e: (f"CASE WHEN regexp_matches({e}, '{number}') THEN CAST(CAST(regexp_extract({e}, '^[+-]?\\d+') AS HUGEINT) "
+                       f"AS VARCHAR) ELSE NULLIF({e}, '') END")
+    key = "CAST(l_orderkey AS VARCHAR)"
+    O["q6_norm_key"] = fin("l_orderkey:i l_linenumber:i l_partkey:i l_suppkey:i k_float:s k_price:s k_alpha:s k_exp:s k_zeros:s k_long:s t_zeros:s t_float:s",
+        "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"{whole(e)} AS {n}" for e, n in [
+            (f"({key} || '.0')", "k_float"), ("CAST(CAST(l_extendedprice AS DECIMAL(20,2)) AS VARCHAR)", "k_price"),
+            ("('INV-' || CAST(l_linenumber AS VARCHAR))", "k_alpha"), (f"({key} || 'E3')", "k_exp"),
+            (f"('00' || {key})", "k_zeros"), (f"('12345678901234567890' || {key})", "k_long")])
+        + f", '00' || {key} AS t_zeros, '00' || {key} AS t_float FROM lineitem)")
+    O["j1_padded_reference"] = _q(["la"], fin("folio:s clearing_document:i",
+        "(SELECT '00' || CAST(o.o_orderkey AS VARCHAR) AS folio, min(x.l_partkey) AS clearing_document FROM orders o "
+        "JOIN la x ON x.reference = o.o_orderkey GROUP BY o.o_orderkey)"))
     txt = "replace(CAST(CAST(l_extendedprice AS DECIMAL(20,2)) AS VARCHAR), '.', ',')"
     O["q7_dec_comma"] = fin("l_orderkey:i l_linenumber:i l_partkey:i l_suppkey:i amount:d bad:d",
         f"(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, TRY_CAST(replace(trim({txt}), ',', '.') AS DECIMAL(20,5)) AS amount, "
@@ -537,6 +544,21 @@ def oracle_sql() -> dict[str, str]:
         f"UNION ALL SELECT {rep_tot}, subtotal_iva_16, iva_16, iva_0, total_sat FROM (SELECT {TOTALS} FROM vr))"))
     O["v7_bank_page"] = _q(["bank_ev"], fin(bl_spec,
         f"(SELECT * FROM (SELECT {bl} FROM bank_ev WHERE book_date {EV_RANGE}) ORDER BY book_date, bank_name, ref LIMIT 200 OFFSET 200)"))
+    O["v7_bank_page_after"] = O["v7_bank_page"]
+    O["v7_bank_page_info"] = _q(["bank_ev"], fin("total:i page_size:i total_pages:i",
+        f"(SELECT count(*) AS total, 200 AS page_size, (count(*) + 199) // 200 AS total_pages FROM bank_ev WHERE book_date {EV_RANGE})"))
+    span = "BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '2024-01-09 23:59:00'"
+    inv, post = f"(SELECT * FROM sat WHERE cfdi_date {span})", f"(SELECT * FROM bank_ev WHERE value_date {span})"
+    one = lambda part, key, value, src: f"SELECT '{part}' AS part, '{key}' AS key, CAST({value} AS DOUBLE) AS value FROM {src}"
+    O["v8_dashboard"] = _q(["sat", "bank_ev"], fin("part:s key:s value:d", "(" + " UNION ALL ".join([
+        one("total", "total_amount_transactions", "SUM(posting_amount)", post), one("total", "total_transactions_sum", "count(id)", post),
+        one("total", "total_income", "SUM(total_amount)", inv), one("total", "vat_16", "SUM(vat_16)", inv),
+        one("total", "ieps", "SUM(ieps)", inv), one("income", "total_income", "SUM(total_amount)", inv),
+        one("income", "total_expenses", "SUM(posting_amount)", post),
+        one("tax", "vat_16", "SUM(vat_16)", inv + " WHERE payment_method IN ('PUE', 'PPD')"),
+        one("tax", "ieps", "SUM(ieps)", inv + " WHERE payment_method IN ('PUE', 'PPD')"),
+        f"SELECT * FROM (SELECT 'client', client_name, CAST(SUM(total_amount) AS DOUBLE) AS s FROM {inv} GROUP BY 2 ORDER BY s DESC, 2 LIMIT 5)",
+        f"SELECT 'bank', bank_name, CAST(SUM(posting_amount) AS DOUBLE) FROM {post} GROUP BY 2"]) + ")"))
     O["v8_bank_summary"] = _q(["bank_ev"], fin("bank_name:s total_posting_amount:d total_transactions:i",
         f"(SELECT bank_name, SUM(posting_amount) AS total_posting_amount, COUNT(id) AS total_transactions FROM bank_ev WHERE value_date {EV_RANGE} GROUP BY bank_name)"))
     O["v8_top_clients"] = O["l2_top_clients"]

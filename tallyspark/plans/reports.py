@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import date_text_dmy
 from ..functions.money import format_price, money_text
-from ..operators.aggregates import (bank_summary, distinct_values, income_by_client, invoice_totals,
+from ..operators.aggregates import (bank_summary, dashboard_totals, distinct_values, income_by_client, invoice_totals,
                                     page_info, postings, sum_by_clearing, total_income)
 from ..operators.filters import InvoiceFilter, bank_listing, between_dates, tax_detail
-from ..operators.match import attach_bank, first_match_per_clearing, match_on_amount, with_status
-from ..operators.paging import order_by_clearing, page, top_clients
+from ..operators.match import attach_bank, match_in_one_join, with_status
+from ..operators.paging import order_by_clearing, page, page_after, top_clients
 from ..operators.setops import report_union
 from ..session import materialize
 from .bridge import Model
-from .views import conciliations_view
+from .views import conciliations_view, enriched, view_columns
 
 LISTING_BANK_COLS = ("bank_name", "bank_ref", "value_date", "posting_amount_number", "posting_amount",
                      "comment", "status_conciliation")
@@ -27,13 +27,9 @@ def matched_per_clearing(view: DataFrame, bank: DataFrame, filt: InvoiceFilter,
                          two_pass: bool = True) -> DataFrame:
     """A2 + A3 (+A4) + J7 (+J9): one matched bank posting per clearing
     document.  Pass order = priority: the client pass (A4) first."""
-    groups = sum_by_clearing(view)
     b = bank.where(filt.posting_predicate("value_date"))
-    passes = []
-    if two_pass:
-        passes.append(match_on_amount(groups, postings(b, by_client=True)))
-    passes.append(match_on_amount(groups, postings(b)))
-    return first_match_per_clearing(passes)
+    passes = [postings(b, by_client=True), postings(b)] if two_pass else [postings(b)]
+    return match_in_one_join(sum_by_clearing(view), passes)
 
 
 def attach_and_classify(view: DataFrame, per_clearing: DataFrame, filt: InvoiceFilter, as_of,
@@ -51,17 +47,18 @@ def attach_and_classify(view: DataFrame, per_clearing: DataFrame, filt: InvoiceF
     return out
 
 
-def shared_view(m: Model, filt: InvoiceFilter | None, materialize_view: bool = False) -> DataFrame:
-    """The enrichment view feeds two branches (the per-clearing sums and the
-    attach join).  Spark would evaluate its five joins once per branch, so
-    it is written once to the shared checkpoint folder and read back --
-    which also cuts lineage, so a lost executor does not recompute it."""
-    view = conciliations_view(m, filt)
-    return materialize(view, label="conciliations-view") if materialize_view else view
+def shared_view(m, filt: InvoiceFilter | None, materialize_view: bool = True) -> DataFrame:
+    """The enrichment view feeds several branches (the per-clearing sums, the
+    attach join, the totals).  Spark would evaluate its joins once per branch,
+    so the joined rows are written once to the shared checkpoint folder and
+    read back -- which also cuts lineage, so a lost executor does not recompute
+    them; formatting stays a projection of each branch."""
+    rows = enriched(m, filt)
+    return view_columns(materialize(rows, label="conciliations-view") if materialize_view else rows)
 
 
-def reconciliation_listing(m: Model, filt: InvoiceFilter, as_of, two_pass: bool = True,
-                           null_safe: bool = True, materialize_view: bool = False) -> DataFrame:
+def reconciliation_listing(m, filt: InvoiceFilter, as_of, two_pass: bool = True,
+                           null_safe: bool = True, materialize_view: bool = True) -> DataFrame:
     """V5 detail: every PUE/PPD invoice once (deliberate: the reference
     lists each twice), with the bank posting it reconciles to and its
     status."""
@@ -79,14 +76,14 @@ class ListingPage:
 
 def reconciliation_page(m: Model, filt: InvoiceFilter, as_of, number: int = 1, size: int = 10) -> ListingPage:
     """V5 with the listing's totals (A1), ordered page (L1+L4) and counts."""
-    detail = reconciliation_listing(m, filt, as_of)
+    view = shared_view(m, filt)
+    detail = attach_and_classify(view, matched_per_clearing(view, m.bank, filt), filt, as_of)
     return ListingPage(rows=page(detail, number, size, [F.asc_nulls_last("clearing_payment_policy"),
                                                          F.asc("receipt_number")]),
-                       totals=invoice_totals(conciliations_view(m, filt)),
-                       info=page_info(detail, size))
+                       totals=invoice_totals(view), info=page_info(view, size))
 
 
-def reconciliation_report(m: Model, filt: InvoiceFilter, materialize_view: bool = False) -> DataFrame:
+def reconciliation_report(m, filt: InvoiceFilter, materialize_view: bool = True) -> DataFrame:
     """V6 download: single (plain) pass, no fallback status, totals row
     appended (U3)."""
     view = shared_view(m, filt, materialize_view)
@@ -103,6 +100,16 @@ def bank_page(m: Model, number: int = 1, size: int = 200, start=None, end=None,
     return page(lst, number, size, ["book_date", "bank_name", "ref"])
 
 
+def bank_page_after(m, last=None, size: int = 200, start=None, end=None, account=None) -> DataFrame:
+    """V7 by keys: the page behind the (book_date, bank_name, ref) of the last row shown."""
+    return page_after(bank_listing(m.bank_events, start, end, account), ["book_date", "bank_name", "ref"], last, size)
+
+
+def bank_page_info(m, size: int = 200, start=None, end=None, account=None) -> DataFrame:
+    """V7 ``total`` and ``total_pages``."""
+    return page_info(bank_listing(m.bank_events, start, end, account), size)
+
+
 def dashboard_bank(m: Model, start=None, end=None) -> DataFrame:
     """V8 bank summary (A5 with the optional value-date range, F4)."""
     b = m.bank_events
@@ -110,9 +117,58 @@ def dashboard_bank(m: Model, start=None, end=None) -> DataFrame:
     return bank_summary(b.where(pred) if pred is not None else b)
 
 
-def dashboard_top_clients(m: Model, n: int = 5) -> DataFrame:
-    """V8 income records (A6 + L2)."""
-    return top_clients(income_by_client(m.sat), n)
+def _in_range(df: DataFrame, col: str, start, end) -> DataFrame:
+    return df.where(between_dates(col, start, end)) if start and end else df
+
+
+def dashboard_top_clients(m: Model, n: int = 5, start=None, end=None) -> DataFrame:
+    """V8 income records (A6 + L2) of the invoices in the range."""
+    return top_clients(income_in_range(m.sat, start, end), n)
+
+
+def income_in_range(sat: DataFrame, start=None, end=None) -> DataFrame:
+    """Income by client of the invoices in the range, by their own date."""
+    return income_by_client(_in_range(sat, "cfdi_date", start, end))
+
+
+def invoices_with_payments(invoices: DataFrame, payments: DataFrame) -> DataFrame:
+    """Every invoice with each of its payment complements, or once with none."""
+    return invoices.join(payments, invoices["uuid_fiscal"] == payments["id_documento"], "left")
+
+
+def tax_validator(view: DataFrame) -> DataFrame:
+    """The ledgers' tax sums against the invoices', with the differences and their signs."""
+    sums = view.agg(F.sum("amount_in_doc_curr_iva_traladado").alias("ledger_vat"), F.sum("vat_16").alias("sat_vat"),
+                    F.sum("amount_in_doc_curr_ieps").alias("ledger_ieps"), F.sum("ieps").alias("sat_ieps"))
+    vat, ieps = F.col("ledger_vat") - F.col("sat_vat"), F.col("ledger_ieps") - F.col("sat_ieps")
+    return sums.select("*", vat.alias("vat_variance"), ieps.alias("ieps_variance"), F.signum(vat).alias("vat_sign"),
+                       F.signum(ieps).alias("ieps_sign"))
+
+
+def income_vs_collected(sat: DataFrame, bank: DataFrame, start=None, end=None) -> DataFrame:
+    """Invoiced income beside what the bank collected, each by its own date."""
+    parts = [df.agg(F.sum(c).cast("double").alias("value")).select(F.lit(name).alias("metric"), "value") for df, c, name in (
+        (_in_range(sat, "cfdi_date", start, end), "total_amount", "total_income"),
+        (_in_range(bank, "value_date", start, end), "posting_amount", "total_expenses"))]
+    return parts[0].unionByName(parts[1])
+
+
+@dataclass
+class Dashboard:
+    banks: DataFrame
+    totals: DataFrame
+    taxes: DataFrame
+    income: DataFrame
+    clients: DataFrame
+
+
+def dashboard_page(m, start=None, end=None, n: int = 5) -> Dashboard:
+    """V8 whole: bank rows, totals (A7), tax detail (F12), income against collected (X20) and the top clients, all of
+    the same date range."""
+    sat, bank = _in_range(m.sat, "cfdi_date", start, end), _in_range(m.bank_events, "value_date", start, end)
+    filt = InvoiceFilter(start=start, end=end) if start and end else None
+    return Dashboard(bank_summary(bank), dashboard_totals(bank, sat), tax_detail(conciliations_view(m, filt)),
+                     income_vs_collected(m.sat, m.bank_events, start, end), top_clients(income_by_client(sat), n))
 
 
 def filter_choices(m: Model) -> DataFrame:

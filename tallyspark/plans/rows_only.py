@@ -12,15 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sql import register_functions
-from ..operators.clean import drop_last, new_files_only
+from ..operators.clean import new_files_only
+from ..operators.filters import InvoiceFilter
 from ..session import scratch_path
-from ..sources.bank import bank_documents, bank_rows, file_stem, read_bank_extract
+from ..sources.bank import bank_documents, bank_rows, file_stem, parse_extracts, read_bank_extract
 from ..sources.invoices import invoice_documents, invoices, read_invoice_xml, tax_lines, write_invoice_xml
-from ..sources.ledgers import LEDGER_SPECS, clean_ledger, read_ledger, route_bank_sheet
+from ..sources.ledgers import LEDGER_SPECS, clean_ledger, dispatch_sheets, read_ledger, route_bank_sheet
 from ..sources.sinks import append, create_catalog, write_json_rows, write_report
 from ..streaming.incremental import ingest_files
 from .bridge import LINE_ORDER, Model
-from .catalog import finalize
+from .catalog import AS_OF, finalize
+from .ingested import ingest
+from .reports import reconciliation_listing
 
 _REG = {}
 LOAD_DATE = "2024-02-01"
@@ -54,45 +57,79 @@ def _dec_comma(c):
     return F.regexp_replace(c.cast("decimal(20,5)").cast("string"), r"\.", ",")
 
 
-def ledger_sheet(m: Model, chunks: int = 8) -> DataFrame:
-    """BHC FBL3N sheet rows from lineitem (returnflag R), as text, plus one
-    total row per file chunk (no document number) placed last."""
-    spec = LEDGER_SPECS["bhc_fbl3n"]
-    li = m.table("lineitem").where(F.col("l_returnflag") == "R")
-    chunk = F.pmod(F.xxhash64("l_orderkey"), F.lit(chunks))
-    vals = {
-        "Nº documento": F.concat(F.col("l_orderkey").cast("string"), F.lit(".0")),
-        "Cuenta": F.when(F.col("l_suppkey") != 7, F.col("l_suppkey").cast("string")),
-        "Ejercicio": F.year("l_shipdate").cast("string"),
-        "Referencia": F.col("l_orderkey").cast("string"),
-        "Referencia a factura": F.col("l_linenumber").cast("string"),
-        "Doc.compensación": F.col("l_partkey").cast("string"),
-        "Posición": F.col("l_linenumber").cast("string"),
-        "Texto": F.concat(F.lit("Part'"), F.col("l_partkey").cast("string")),
-        "Importe en moneda doc.": _dec_comma(F.col("l_extendedprice")),
-        "Tp.cambio efectivo": _dec_comma(F.col("l_discount")),
-        "Importe en moneda local": _dec_comma(F.col("l_extendedprice")),
-        "Fe.contabilización": F.date_format("l_shipdate", "dd/MM/yyyy"),
-        "Moneda del documento": F.lit("MXN"),
+ROWS_A_FILE = 10_000  #: of a landed sheet file, about
+
+
+def _text(cols: dict, headers) -> list:
+    """The headers' columns, NULL where no value is given; a repeated header gets the suffix that the reader gives it."""
+    out = []
+    for i, h in enumerate(headers):
+        first = headers.index(h) == i
+        out.append((cols.get(h, F.lit(None).cast("string")) if first else F.lit(None).cast("string"))
+                   .alias(h if first else f"{h}{i}"))
+    return out
+
+
+def _ledger_values(kind: str) -> dict:
+    """Text cells of a ledger row made from a lineitem row.  Document numbers are blank in the middle of the sheet for
+    part 11, and the account for supplier 7."""
+    spec, s = LEDGER_SPECS[kind], "string"
+    cells = {
+        "document_number": F.when(F.col("l_partkey") != 11, F.concat(F.col("l_orderkey").cast(s), F.lit(".0"))),
+        "account": F.when(F.col("l_suppkey") != 7, F.col("l_suppkey").cast(s)),
+        "gl_account": F.when(F.col("l_suppkey") != 7, F.col("l_suppkey").cast(s)),
+        "fiscal_year": F.year("l_shipdate").cast(s), "reference": F.col("l_orderkey").cast(s),
+        "invoice_reference": F.col("l_linenumber").cast(s), "clearing_document": F.col("l_partkey").cast(s),
+        "line_item": F.col("l_linenumber").cast(s), "position": F.col("l_linenumber").cast(s),
+        "posting_key": F.lit("40"), "text": F.concat(F.lit("Part'"), F.col("l_partkey").cast(s)),
+        "amount_in_doc_curr": _dec_comma(F.col("l_extendedprice")),
+        "eff_exchange_rate": _dec_comma(F.col("l_discount")),
+        "amount_in_local_currency": _dec_comma(F.col("l_extendedprice")),
+        "posting_date": F.date_format("l_shipdate", "dd/MM/yyyy"), "document_currency": F.lit("MXN"),
     }
-    rows = li.select(chunk.alias("chunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"),
-                     *[(vals.get(h, F.lit(None).cast("string"))).alias(h) for h in spec.headers])
-    totals = rows.groupBy("chunk").agg(
-        (F.max("line_no") + 1).alias("line_no"),
-        F.regexp_replace(F.sum(F.regexp_replace("`Importe en moneda local`", ",", ".").cast("decimal(20,2)"))
-                         .cast("string"), r"\.", ",").alias("_total"))
-    totals = totals.select("chunk", "line_no", *[(F.col("_total") if h == "Importe en moneda local"
-                                                   else F.lit(None).cast("string")).alias(h) for h in spec.headers])
+    return {spec.columns[c]: v for c, v in cells.items() if c in spec.columns}
+
+
+def ledger_sheet(m: Model, kind: str = "bhc_fbl3n", flag: str = "R") -> DataFrame:
+    """Sheet rows from lineitem as text, dealt over as many files as they need, each with the kind's trailing total
+    rows (no document number) behind gaps in the numbering."""
+    spec = LEDGER_SPECS[kind]
+    li = m.table("lineitem").where(F.col("l_returnflag") == flag)
+    files = max(2, li.count() // ROWS_A_FILE)
+    rows = li.select(F.pmod(F.xxhash64("l_orderkey"), F.lit(files)).alias("chunk"),
+                     (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("line_no"),
+                     *_text(_ledger_values(kind), spec.headers))
+    if not spec.trailing_rows:
+        return rows
+    amount = spec.columns["amount_in_local_currency"]
+    total = F.regexp_replace(F.sum(F.regexp_replace(f"`{amount}`", ",", ".").cast("decimal(20,2)")).cast("string"), r"\.", ",")
+    totals = rows.groupBy("chunk").agg(F.max(F.col("line_no").cast("bigint")).alias("_last"), total.alias("_total"))
+    totals = totals.select("chunk", "_total", F.explode(F.sequence(F.lit(1), F.lit(spec.trailing_rows))).alias("_i"), "_last") \
+        .select("chunk", (F.col("_last") + 7 * F.col("_i") * F.col("_i")).cast("string").alias("line_no"),
+                *_text({amount: F.col("_total")}, spec.headers))
     return rows.unionByName(totals)
 
 
-def land_ledger(m: Model) -> str:
-    path = scratch_path(m.spark, "landing-ledger")
-    (ledger_sheet(m).repartition("chunk").write.partitionBy("chunk").option("header", True)
-     .mode("overwrite").csv(path))
+def land_sheet(sheet: DataFrame, path: str) -> str:
+    sheet.repartition("chunk").write.partitionBy("chunk").option("header", True).mode("overwrite").csv(path)
     return path
 
 
+def land_ledger(m: Model, kind: str = "bhc_fbl3n", flag: str = "R") -> str:
+    return land_sheet(ledger_sheet(m, kind, flag), scratch_path(m.spark, "landing-ledger"))
+
+
+def land_workbooks(m: Model) -> str:
+    """One landing folder with sheets of both entities: ``entity=<e>/sheet=<name>``, one of them unknown."""
+    root = scratch_path(m.spark, "landing-workbooks")
+    for entity, sheet, kind, flag in (("BCS", "IVA cobrado 2440015", "bcs_fbl3n", "A"), ("BCS", "Sheet1", "bcs_fbl5n", "A"),
+                                      ("BHC", "Sheet1", "bhc_fbl5n", "R"), ("BHC", "IEPS 2440020", "bhc_fbl3n", "R")):
+        land_sheet(ledger_sheet(m, kind, flag), f"{root}/entity={entity}/sheet={sheet}")
+    for entity, sheet, kind in (("BCS", "mx-ban N8P", "bank_n8p"), ("BHC", "mx-oth N8P", "bank_n8p"), ("BCS", "Notes", "bank_pbc")):
+        bank_sheet(m, kind).write.option("header", True).mode("overwrite").csv(f"{root}/entity={entity}/sheet={sheet}")
+    return root
+
+
 # ---------------------------------------------------------------- sources
 @q("s1_read_invoices")
 def _s1(m):
@@ -101,6 +138,16 @@ def _s1(m):
                       "total_amount", "subtotal_16", "vat_16", "vat_0", "ieps", "tax_rate", "fiscal_uuid")
 
 
+@q("s1_reuploaded_invoices")
+def _s1r(m):
+    """Every tenth order's document also under a second file name; tax amounts with six decimals."""
+    path, again = scratch_path(m.spark, "landing-invoices"), scratch_path(m.spark, "landing-invoices")
+    for folder, orders in ((path, m.table("orders")), (again, m.table("orders").where("o_orderkey % 10 = 0"))):
+        write_invoice_xml(invoice_documents(orders, m.table("customer"), m.table("lineitem"), six_decimals=True), folder)
+    sat, _ = invoices(read_invoice_xml(m.spark, path).unionByName(read_invoice_xml(m.spark, again)), load_date=LOAD_DATE)
+    return sat.select("receipt_number", "vat_16", "ieps", "tax_rate", "fiscal_uuid")
+
+
 @q("s2_concept_text")
 def _s2(m):
     sat, _ = invoices(read_invoice_xml(m.spark, land_invoices(m)), load_date=LOAD_DATE)
@@ -123,16 +170,44 @@ def _s4(m):
 
 @q("s5_file_stem")
 def _s5(m):
-    raw = read_bank_extract(m.spark, land_bank_extracts(m), one_document_per_file=False)
-    return raw.select(file_stem("source_file").alias("stem")).distinct()
+    path = F.concat(F.lit("s3a://landing/"), F.col("event_type"), F.lit("/"), F.col("event_id").cast("string"), F.lit(".v1.json"))
+    return m.table("events").select("event_id", file_stem(path).alias("stem"), file_stem(F.col("event_type")).alias("plain"))
+
+
+LEDGER_OUT = ("document_number", "gl_account", "reference", "invoice_reference", "clearing_document", "text",
+              "amount_in_doc_curr", "eff_exchange_rate", "amount_in_local_currency", "posting_date")
 
 
 @q("s6_read_ledger")
 def _s6(m):
     good, _ = clean_ledger(read_ledger(m.spark, land_ledger(m), "bhc_fbl3n"), "bhc_fbl3n")
-    return good.select("document_number", "gl_account", "reference", "invoice_reference", "clearing_document",
-                       "line_item", "text", "amount_in_doc_curr", "eff_exchange_rate", "amount_in_local_currency",
-                       "posting_date", "fiscal_year")
+    return good.select(*LEDGER_OUT, "line_item", "fiscal_year")
+
+
+@q("s6_bcs_fbl3n")
+def _s6a(m):
+    return dispatch_sheets(m.spark, land_workbooks(m))["bcs_iva_cobrado_2440015"][0].select(
+        *LEDGER_OUT, "line_item", "fiscal_year")
+
+
+@q("s6_bcs_fbl5n")
+def _s6b(m):
+    return dispatch_sheets(m.spark, land_workbooks(m))["bcs_fbl5n"][0].select(*LEDGER_OUT, "account")
+
+
+@q("s6_bhc_fbl5n")
+def _s6c(m):
+    return dispatch_sheets(m.spark, land_workbooks(m))["bhc_fbl5n"][0].select(*LEDGER_OUT, "account", "position", "posting_key")
+
+
+BANK_SHEET_OUT = ("business_area", "document_number", "account", "fiscal_year", "amount_in_local_currency",
+                  "posting_date", "text")
+
+
+@q("s6_bank_n8p")
+def _s6d(m):
+    """Two entities' sheets in one table."""
+    return dispatch_sheets(m.spark, land_workbooks(m))["bank_n8p"][0].select(*BANK_SHEET_OUT)
 
 
 @q("s7_route_bank_sheet")
@@ -148,36 +223,70 @@ def _s7(m):
 
 
 # --------------------------------------------------------------- cleaning
+def _cleaned(m, kind):
+    return clean_ledger(read_ledger(m.spark, land_ledger(m, kind), kind), kind)
+
+
+def _trimmed(m, kind):
+    """What the trim leaves: the good rows and the rejects of other reasons."""
+    good, bad = _cleaned(m, kind)
+    key = F.regexp_replace(F.col(f"`{LEDGER_SPECS[kind].columns['reference']}`"), "'", "")
+    return good.select("reference", "line_no").unionByName(
+        bad.where("reject_reason <> 'trailing_row'").select(key.alias("reference"), "line_no")).select(
+        "reference", F.col("line_no").cast("bigint").alias("line_no"))
+
+
 @q("q4_drop_trailing_rows")
 def _q4(m):
-    raw = read_ledger(m.spark, land_ledger(m), "bhc_fbl3n").withColumn("line_no", F.col("line_no").cast("bigint"))
-    kept = drop_last(raw, LEDGER_SPECS["bhc_fbl3n"].trailing_rows, "line_no", file_col="chunk")
-    return kept.select(F.col("Referencia").alias("reference"), F.col("Posición").alias("position"),
-                       F.col("line_no").cast("bigint").alias("line_no"))
+    return _trimmed(m, "bhc_fbl3n")
+
+
+@q("q4_drop_three_rows")
+def _q4b(m):
+    return _trimmed(m, "bhc_fbl5n")
 
 
 @q("q11_split_rejects")
 def _q11(m):
-    _, bad = clean_ledger(read_ledger(m.spark, land_ledger(m), "bhc_fbl3n"), "bhc_fbl3n")
-    return bad.select(F.col("Nº documento").alias("document_text"), F.col("Posición").alias("position"),
-                      "reject_reason")
+    _, bad = _cleaned(m, "bhc_fbl3n")
+    return bad.where("reject_reason <> 'trailing_row'").select(
+        F.col("Nº documento").alias("document_text"), F.col("Posición").alias("position"), "reject_reason")
+
+
+@q("q11_partition")
+def _q11p(m):
+    """Each landed row is good, rejected or trimmed, once."""
+    parts = None
+    for kind in ("bhc_fbl3n", "bhc_fbl5n"):
+        good, bad = _cleaned(m, kind)
+        reason = F.when(F.col("reject_reason") == "trailing_row", "trimmed").otherwise("rejected")
+        part = good.select("line_no", F.lit("good").alias("part")).unionByName(bad.select("line_no", reason.alias("part")))
+        part = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"),
+                                        F.sum(F.when(F.col("part") != "trimmed", F.col("line_no").cast("bigint"))).alias("lines"))
+        part = part.withColumn("n", F.when(F.col("part") == "trimmed", (F.col("n") > 0).cast("bigint")).otherwise(F.col("n")))
+        part = part.select(F.lit(kind).alias("kind"), "part", "n", "lines")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 @q("q13_new_files_only")
 def _q13(m):
-    path = land_invoices(m)
-    raw = read_invoice_xml(m.spark, path)
-    registry = raw.select(F.col("source_file").alias("file_name")).where(F.lit(False))
-    incoming = raw.unionByName(read_invoice_xml(m.spark, path))      # the same files offered twice
-    fresh = new_files_only(incoming.withColumn("file_name", F.col("source_file")), registry)
-    sat, _ = invoices(fresh.drop("file_name"), load_date=LOAD_DATE)
-    return sat.dropDuplicates(["fiscal_uuid"]).select("receipt_number", "fiscal_uuid", "total_amount")
-
-
-def bank_sheet(m: Model) -> DataFrame:
-    """A bank auxiliary sheet (PBC) from events; rows of type 'error' carry
-    the 'Cleared/open items' marker in Business Area."""
-    spec = LEDGER_SPECS["bank_pbc"]
+    """The files of even orders are registered already; all files are offered again."""
+    paths = [scratch_path(m.spark, "landing-invoices") for _ in range(2)]
+    for rest, path in enumerate(paths):
+        orders = m.table("orders").where(F.col("o_orderkey") % 2 == rest)
+        write_invoice_xml(invoice_documents(orders, m.table("customer"), m.table("lineitem")), path)
+    even, odd = (read_invoice_xml(m.spark, p) for p in paths)
+    registry = even.select(F.col("s3_url").alias("file")).distinct()
+    fresh = new_files_only(even.unionByName(odd).withColumn("file", F.col("s3_url")), registry, "file")
+    sat, _ = invoices(fresh.drop("file"), load_date=LOAD_DATE)
+    return sat.select("receipt_number", "fiscal_uuid", "total_amount")
+
+
+def bank_sheet(m: Model, kind: str = "bank_pbc") -> DataFrame:
+    """A bank auxiliary sheet from events; rows of type 'error' carry the 'Cleared/open items' marker in Business
+    Area."""
+    spec = LEDGER_SPECS[kind]
     ev = m.table("events")
     vals = {
         "Business Area": F.when(F.col("event_type") == "error", F.lit("Cleared/open items"))
@@ -204,13 +313,31 @@ def _q5(m):
                        "posting_date", "text")
 
 
+# --------------------------------------------------------- ingest to view
+@q("e2e_reconciliation")
+def _e2e(m):
+    """Invoice XML, two open-item sheets, two tax-ledger sheets and bank extracts, landed and read; then V5."""
+    root = scratch_path(m.spark, "landing-e2e")
+    for entity, sheet, kind, flag in (("BCS", "Sheet1", "bcs_fbl5n", "A"), ("BHC", "Sheet1", "bhc_fbl5n", "R"),
+                                      ("BCS", "IEPS 2440020", "bcs_fbl3n", "A"), ("BHC", "IVA Trasladado 2440015", "bhc_fbl3n", "N")):
+        land_sheet(ledger_sheet(m, kind, flag), f"{root}/entity={entity}/sheet={sheet}")
+    missing = [F.lit(None).cast("string").alias(c) for c in ("payment_method", "addref", "payer", "posting_text")]
+    banks = scratch_path(m.spark, "landing-bank")
+    bank_documents(m.bank.select("*", *missing)).write.mode("overwrite").text(banks)
+    tables = ingest(m.spark, land_invoices(m), root, banks, LOAD_DATE, one_document_per_file=False)
+    return reconciliation_listing(tables, InvoiceFilter(), AS_OF).select(
+        "receipt_number", "client_name", "total_amount", "account", "clearing_payment_policy", "provision_policy_document",
+        "t_c_dof", "invoice_reference", "amount_in_doc_curr_ieps", "amount_in_doc_curr_iva_traladado", "entity",
+        "bank_name", "bank_ref", "value_date", "posting_amount", "status_conciliation")
+
+
 # ------------------------------------------------------------------ sinks
 @q("k1_append")
 def _k1(m):
     path = scratch_path(m.spark, "table-sat")
     sat = m.sat.select("receipt_number", "payment_method", "total_amount")
-    append(sat.where(F.col("payment_method") == "PUE"), path)
-    append(sat.where(F.col("payment_method") == "PPD"), path)
+    for method in ("PUE", "PPD", "OTHER"):
+        append(sat.where(F.col("payment_method") == method), path)
     return m.spark.read.parquet(path)
 
 
@@ -248,29 +375,17 @@ def _t1(m):
     landing = land_bank_extracts(m)
     target, ckpt = scratch_path(spark, "bank-table"), scratch_path(spark, "bank-stream-ckpt")
 
-    def transform(batch):
-        raw = read_bank_extract_batch(batch)
-        return bank_rows(raw, load_date=LOAD_DATE)
-
-    ingest_files(spark, landing, "text", "value string", target, ckpt, transform)
-    ingest_files(spark, landing, "text", "value string", target, ckpt, transform)   # re-run: nothing new
+    for day, checkpoint in ((LOAD_DATE, ckpt), (LOAD_DATE, ckpt), ("2024-02-02", scratch_path(spark, "bank-stream-ckpt"))):
+        # the last run replays all files with a new checkpoint on another day
+        ingest_files(spark, landing, "text", "value string", target, checkpoint,
+                     lambda batch, day=day: bank_rows(parse_extracts(batch), load_date=day))
     return spark.read.parquet(target).select("bank_name", "book_date", "value_date", "posting_amount",
                                              "payment_method", "ref", "comment", "client_name")
 
 
-def read_bank_extract_batch(batch: DataFrame) -> DataFrame:
-    """Same parsing as ``read_bank_extract`` for a streamed batch of lines."""
-    from ..sources.bank import EXTRACT, TRANSACTION_FIELDS
-    docs = batch.select(F.col("source_file"), F.lit(None).cast("string").alias("s3_url"),
-                        F.explode(F.from_json("value", EXTRACT)).alias("account", "doc"))
-    tx = docs.select("account", "s3_url", "source_file", F.explode_outer("doc.Transactions").alias("t"))
-    return tx.select("account", "s3_url", "source_file",
-                     *[F.col("t").getField(k).alias(v) for k, v in TRANSACTION_FIELDS.items()])
-
-
 # ------------------------------------------------------------------ oracles
 def _oracle():
-    from .oracle import CTES, LEDGER_ORD, fin, fp
+    from .oracle import CTES, LEDGER_ORD, TOTALS, fin, fp
     from .oracle import build as _build
 
     def b(uses, final):
@@ -280,6 +395,15 @@ def _oracle():
     O["s1_read_invoices"] = b(["sat"], fin(
         "receipt_number:s rfc:s client_name:s cfdi_use:s payment_method:s cfdi_date:t currency:s total_amount:d "
         "subtotal_16:d vat_16:d vat_0:d ieps:d tax_rate:s fiscal_uuid:s", "sat"))
+    tax = "CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2))"
+    O["s1_reuploaded_invoices"] = fin("receipt_number:s vat_16:d ieps:d tax_rate:s fiscal_uuid:s",
+        f"(SELECT x.o_orderkey AS receipt_number, 'UUID-' || CAST(x.o_orderkey AS VARCHAR) AS fiscal_uuid, COALESCE(t.tax_rate, '') AS tax_rate, "
+        f"COALESCE(round(t.vat, 2), 0) AS vat_16, COALESCE(round(t.ieps, 2), 0) AS ieps FROM (SELECT o_orderkey FROM orders "
+        f"UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0) x JOIN orders USING (o_orderkey) "
+        f"JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, "
+        f"last({tax} ORDER BY {LEDGER_ORD}) FILTER (l_linestatus = 'F' AND {tax} > 0) AS vat, "
+        f"SUM({tax}) FILTER (l_linestatus = 'O') AS ieps, COALESCE(string_agg(CASE WHEN l_tax > 0 THEN '16%' ELSE '0%' END, '' "
+        f"ORDER BY {LEDGER_ORD}) FILTER (l_linestatus = 'F'), '') AS tax_rate FROM lineitem GROUP BY 1) t ON t.l_orderkey = x.o_orderkey)")
     O["s2_concept_text"] = fin("receipt_number:s product_or_service:s",
         f"(SELECT o.o_orderkey AS receipt_number, COALESCE(string_agg('Part ' || CAST(l.l_partkey AS VARCHAR), ' * ' "
         f"ORDER BY l.{LEDGER_ORD.replace(', ', ', l.')}), '') AS product_or_service "
@@ -295,16 +419,29 @@ def _oracle():
     O["s4_read_bank_extract"] = b(["bank_ev"], fin(bank_spec, bank_sql))
     O["t1_incremental_ingest"] = O["s4_read_bank_extract"]
     dc = "CAST(CAST(l_extendedprice AS DECIMAL(20,5)) AS DECIMAL(20,2))"
-    O["s6_read_ledger"] = fin(
-        "document_number:s gl_account:s reference:s invoice_reference:s clearing_document:s line_item:i text:s "
-        "amount_in_doc_curr:d eff_exchange_rate:d amount_in_local_currency:d posting_date:t fiscal_year:s",
-        f"(SELECT CAST(l_orderkey AS VARCHAR) AS document_number, CAST(l_suppkey AS VARCHAR) AS gl_account, "
-        f"CAST(l_orderkey AS VARCHAR) AS reference, CAST(l_linenumber AS VARCHAR) AS invoice_reference, "
-        f"CAST(l_partkey AS VARCHAR) AS clearing_document, l_linenumber AS line_item, "
-        f"'Part' || CAST(l_partkey AS VARCHAR) AS text, {dc} AS amount_in_doc_curr, "
-        f"CAST(l_discount AS DECIMAL(20,5)) AS eff_exchange_rate, {dc} AS amount_in_local_currency, "
-        f"CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS posting_date, CAST(year(l_shipdate) AS VARCHAR) AS fiscal_year "
-        f"FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey <> 7)")
+
+    def ledger(flag, where, more, gl="CAST(l_suppkey AS VARCHAR)", document="CAST(l_orderkey AS VARCHAR)"):
+        return fin("document_number:s gl_account:s reference:s invoice_reference:s clearing_document:s text:s "
+                   "amount_in_doc_curr:d eff_exchange_rate:d amount_in_local_currency:d posting_date:t " + " ".join(
+                       f"{n}:{k}" for n, k, _ in more),
+                   f"(SELECT {document} AS document_number, {gl} AS gl_account, CAST(l_orderkey AS VARCHAR) AS reference, "
+                   f"CAST(l_linenumber AS VARCHAR) AS invoice_reference, CAST(l_partkey AS VARCHAR) AS clearing_document, "
+                   f"'Part' || CAST(l_partkey AS VARCHAR) AS text, {dc} AS amount_in_doc_curr, "
+                   f"CAST(l_discount AS DECIMAL(20,5)) AS eff_exchange_rate, {dc} AS amount_in_local_currency, "
+                   f"CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS posting_date, "
+                   + ", ".join(f"{e} AS {n}" for n, _, e in more)
+                   + f" FROM lineitem WHERE l_returnflag = '{flag}' AND {where})")
+
+    year = ("fiscal_year", "s", "CAST(year(l_shipdate) AS VARCHAR)")
+    item = ("line_item", "i", "l_linenumber")
+    maybe = "CASE WHEN l_suppkey <> 7 THEN CAST(l_suppkey AS VARCHAR) END"
+    blank = "CASE WHEN l_partkey <> 11 THEN CAST(l_orderkey AS VARCHAR) END"
+    O["s6_read_ledger"] = ledger("R", "l_suppkey <> 7 AND l_partkey <> 11", [item, year])
+    O["s6_bcs_fbl3n"] = ledger("A", "l_partkey <> 11", [item, year], gl=maybe)
+    O["s6_bcs_fbl5n"] = ledger("A", "TRUE", [("account", "s", maybe)], gl=maybe, document=blank)
+    O["s6_bhc_fbl5n"] = ledger("R", "l_suppkey <> 7 AND l_partkey <> 11", [
+        ("account", "s", "CAST(l_suppkey AS VARCHAR)"), ("position", "s", "CAST(l_linenumber AS VARCHAR)"),
+        ("posting_key", "s", "'40'")])
     O["s7_route_bank_sheet"] = fin("s_suppkey:i sheet:s target:s",
         "(SELECT s_suppkey, sheet, CASE WHEN regexp_full_match(sheet, '[a-z]{2,3}-[a-z]{3} [A-Z0-9]{3}') "
         "AND right(sheet, 3) = 'PBC' THEN 'bank_pbc' WHEN regexp_full_match(sheet, '[a-z]{2,3}-[a-z]{3} [A-Z0-9]{3}') "
@@ -312,21 +449,38 @@ def _oracle():
         "SELECT s_suppkey, lower(substr(n_name, 1, 2)) || '-' || lower(substr(r_name, 1, 3)) || ' ' || "
         "(['PBC', 'N8P', 'XYZ'])[(s_suppkey % 3) + 1] AS sheet FROM supplier JOIN nation ON s_nationkey = n_nationkey "
         "JOIN region ON n_regionkey = r_regionkey))")
-    O["q4_drop_trailing_rows"] = fin("reference:s position:s line_no:i",
-        "(SELECT CAST(l_orderkey AS VARCHAR) AS reference, CAST(l_linenumber AS VARCHAR) AS position, "
-        "l_orderkey * 10 + l_linenumber AS line_no FROM lineitem WHERE l_returnflag = 'R')")
+    O["q4_drop_trailing_rows"] = fin("reference:s line_no:i",
+        "(SELECT CAST(l_orderkey AS VARCHAR) AS reference, l_orderkey * 10 + l_linenumber AS line_no "
+        "FROM lineitem WHERE l_returnflag = 'R')")
+    O["q4_drop_three_rows"] = O["q4_drop_trailing_rows"]
     O["q11_split_rejects"] = fin("document_text:s position:s reject_reason:s",
-        "(SELECT CAST(l_orderkey AS VARCHAR) || '.0' AS document_text, CAST(l_linenumber AS VARCHAR) AS position, "
-        "'invalid:gl_account' AS reject_reason FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey = 7)")
+        "(SELECT CASE WHEN l_partkey <> 11 THEN CAST(l_orderkey AS VARCHAR) || '.0' END AS document_text, "
+        "CAST(l_linenumber AS VARCHAR) AS position, concat_ws(';', CASE WHEN l_partkey = 11 THEN 'invalid:document_number' END, "
+        "CASE WHEN l_suppkey = 7 THEN 'invalid:gl_account' END) AS reject_reason FROM lineitem "
+        "WHERE l_returnflag = 'R' AND (l_suppkey = 7 OR l_partkey = 11))")
+    O["q11_partition"] = fin("kind:s part:s n:i lines:i",
+        "(SELECT kind, part, n, lines FROM (SELECT CASE WHEN l_suppkey = 7 OR l_partkey = 11 THEN 'rejected' ELSE 'good' END AS part, "
+        "count(*) AS n, SUM(l_orderkey * 10 + l_linenumber) AS lines FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 "
+        "UNION ALL SELECT 'trimmed', 1, NULL), (VALUES ('bhc_fbl3n'), ('bhc_fbl5n')) AS k(kind))")
     O["q5_drop_markers"] = fin(
         "business_area:s document_number:s account:s fiscal_year:s amount_in_local_currency:d posting_date:D text:s",
         "(SELECT 'BA-' || event_type AS business_area, CAST(event_id AS VARCHAR) AS document_number, "
         "CAST(user_id AS VARCHAR) AS account, CAST(year(ts) AS VARCHAR) AS fiscal_year, "
         "CAST(CAST(value AS DECIMAL(20,2)) AS DOUBLE) AS amount_in_local_currency, CAST(ts AS DATE) AS posting_date, "
         "props AS text FROM events WHERE event_type <> 'error')")
-    O["q13_new_files_only"] = b(["sat"], fin("receipt_number:s fiscal_uuid:s total_amount:d", "sat"))
-    O["k1_append"] = b(["sat"], fin("receipt_number:i payment_method:s total_amount:d",
-                                    "(SELECT * FROM sat WHERE payment_method IN ('PUE', 'PPD'))"))
+    O["s6_bank_n8p"] = O["q5_drop_markers"].replace("FROM events", "FROM (SELECT * FROM events UNION ALL SELECT * FROM events)")
+    O["q13_new_files_only"] = b(["sat"], fin("receipt_number:s fiscal_uuid:s total_amount:d",
+                                             "(SELECT * FROM sat WHERE receipt_number % 2 = 1)"))
+    O["k1_append"] = b(["sat"], fin("receipt_number:i payment_method:s total_amount:d", "sat"))
+    O["s5_file_stem"] = fin("event_id:i stem:s plain:s",
+        "(SELECT event_id, CAST(event_id AS VARCHAR) || '.v1' AS stem, event_type AS plain FROM events)")
+    none = ", ".join(f"NULL AS {c}" for c in ("subtotal_iva_16", "iva_16", "iva_0", "total_sat"))
+    O["k2_report_export"] = b(["v1"], fin(
+        "receipt_number:s client_name:s total_amount:s ieps:s subtotal_iva_16:s iva_16:s iva_0:s total_sat:s",
+        f"(SELECT CAST(receipt_number AS VARCHAR) AS receipt_number, client_name, CAST(total_amount AS VARCHAR) AS total_amount, "
+        f"CAST(ieps AS VARCHAR) AS ieps, {none} FROM v1 UNION ALL SELECT NULL, NULL, NULL, ieps, subtotal_iva_16, iva_16, "
+        f"iva_0, total_sat FROM (SELECT {TOTALS} FROM v1))"))
+    O["e2e_reconciliation"] = _e2e_sql()
     O["k3_json_rows"] = b(["bank_ev"], fin("bank_name:s total_posting_amount:d total_transactions:i",
         "(SELECT bank_name, SUM(posting_amount) AS total_posting_amount, COUNT(id) AS total_transactions "
         "FROM bank_ev GROUP BY bank_name)"))
@@ -336,4 +490,35 @@ def _oracle():
     return O
 
 
+def _e2e_sql() -> str:
+    """V5 over tables in the shape that the ingest gives them; the rules of the sheets' kinds as conditions."""
+    from .oracle import BASE, fin, first_rows, listing_cte, match_ctes, view_ctes
+    from .oracle import build as _build
+
+    def rows(flag, kept):
+        return (f"""SELECT CAST(l_orderkey AS VARCHAR) AS reference, CAST(l_partkey AS VARCHAR) AS clearing_document,
+            CASE WHEN l_suppkey <> 7 THEN CAST(l_suppkey AS VARCHAR) END AS account,
+            CASE WHEN l_partkey <> 11 THEN CAST(l_orderkey AS VARCHAR) END AS document_number,
+            CAST(l_discount AS DECIMAL(20,5)) AS eff_exchange_rate, CAST(l_linenumber AS VARCHAR) AS invoice_reference,
+            CAST(l_extendedprice AS DECIMAL(20,2)) AS amount_in_local_currency,
+            CAST(l_extendedprice AS DECIMAL(20,2)) AS amount_in_doc_curr, l_orderkey * 10 + l_linenumber AS ingest_seq
+          FROM lineitem WHERE l_returnflag = '{flag}' AND {kept}""")
+
+    ledger = "ingest_seq, clearing_document, amount_in_local_currency, eff_exchange_rate, account NULLS FIRST"
+    aux = "ingest_seq, reference, amount_in_doc_curr"
+    own = {"la": rows("A", "TRUE"), "lb": rows("R", "l_partkey <> 11 AND l_suppkey <> 7"),
+           "aux_ieps": rows("A", "l_partkey <> 11"), "aux_iva": rows("N", "l_partkey <> 11 AND l_suppkey <> 7")}
+    ctes = {**BASE, **{n: ([], sql) for n, sql in own.items()}}
+    ctes |= {"la_first": (["la"], first_rows("la", "reference", ledger)), "lb_first": (["lb"], first_rows("lb", "reference", ledger)),
+             "ieps_first": (["aux_ieps"], first_rows("aux_ieps", "clearing_document", aux)),
+             "iva_first": (["aux_iva"], first_rows("aux_iva", "clearing_document", aux))}
+    deps, sat = BASE["sat"]
+    ctes["sat"] = (deps, f"SELECT * REPLACE (CAST(receipt_number AS VARCHAR) AS receipt_number) FROM ({sat})")
+    ctes |= view_ctes("v1") | match_ctes("ma", "v1") | listing_cte("lst", "v1", "ma_pc", "FALSE")
+    return _build(ctes, fin(
+        "receipt_number:s client_name:s total_amount:d account:s clearing_payment_policy:s provision_policy_document:s t_c_dof:d "
+        "invoice_reference:s amount_in_doc_curr_ieps:d amount_in_doc_curr_iva_traladado:d entity:s bank_name:s bank_ref:s "
+        "value_date:s posting_amount:s status_conciliation:s", "lst"), ["lst"])
+
+
 ROWS_ONLY_ORACLE = _oracle()

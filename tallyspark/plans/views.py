@@ -36,14 +36,24 @@ def enrich_invoices(sat: DataFrame, ledger_a: DataFrame, ledger_b: DataFrame, au
                           spread_by=["receipt_number"])
 
 
-def conciliations_view(m: Model, filt: InvoiceFilter | None = None) -> DataFrame:
-    """V1 ``conciliations_view``: one row per PUE/PPD invoice with its ledger
-    item, formatted amounts, ``diff_sat_sap`` (X17) and tax-ledger amounts.
-    The listing filters (F10) are applied to the invoice scan itself."""
+def enriched(m, filt: InvoiceFilter | None = None) -> DataFrame:
+    """The joins of V1: valid invoices under the listing filters (F10, applied to the invoice scan itself) with their
+    ledger items.  ``m`` is anything with the tables ``sat``, ``ledger_a``, ``ledger_b``, ``aux_ieps``, ``aux_iva`` and
+    the orders of their rows, ``ledger_order`` and ``aux_order``."""
     sat = valid_invoices(m.sat)
     if filt is not None:
         sat = filt.apply(sat)
-    e = enrich_invoices(sat, m.ledger_a, m.ledger_b, m.aux_ieps, m.aux_iva)
+    return enrich_invoices(sat, m.ledger_a, m.ledger_b, m.aux_ieps, m.aux_iva, m.ledger_order, m.aux_order)
+
+
+def conciliations_view(m, filt: InvoiceFilter | None = None) -> DataFrame:
+    """V1 ``conciliations_view``: one row per PUE/PPD invoice with its ledger
+    item, formatted amounts, ``diff_sat_sap`` (X17) and tax-ledger amounts."""
+    return view_columns(enriched(m, filt))
+
+
+def view_columns(e: DataFrame) -> DataFrame:
+    """The projection of V1 over its joined rows."""
     return e.select(
         "account", "client_name", "rfc",
         date_text_dmy("cfdi_date").alias("formatted_date_cfdi_date"),

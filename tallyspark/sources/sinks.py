@@ -1,5 +1,5 @@
 """Sinks (K1-K6).  Every write is one distributed job; nothing is collected
-to the driver except the fixed seed rows of K5."""
+to the driver."""
 
 from __future__ import annotations
 
@@ -30,12 +30,6 @@ def write_json_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-# Table names of the catalog (K4).
-CATALOG_TABLES = ("bank", "sat", "bcs_fbl5n", "bhc_fbl5n", "bcs_ieps_2440020", "bcs_iva_cobrado_2440015",
-                  "bcs_iva_retenido_1250010", "bhc_ieps_2440020", "bhc_iva_traladado_2440015",
-                  "bhc_iva_retenido_1250010", "bhc_iva_iva_otros", "bank_pbc", "bank_n8p", "dof")
-
-
 def create_catalog(spark: SparkSession, frames: dict[str, DataFrame], functions: bool = True) -> list[str]:
     """K4 create-or-replace the views of the model (temp views over the
     given DataFrames) and register the SQL functions."""
@@ -47,50 +41,13 @@ def create_catalog(spark: SparkSession, frames: dict[str, DataFrame], functions:
     return sorted(frames)
 
 
-def drop_catalog(spark: SparkSession, names) -> None:
-    for n in names:
-        spark.catalog.dropTempView(n)
-
-
-# The reference table of bank deposits (K5), 26 rows of
-# (deposits, bank name, document number, value date as dd/MM/yyyy or None).
-BANK_SEED = [
-    (1384805.03, "Banamex 503292", 5020000395, "19/12/2023"),
-    (24659857.02, "IHBank", 5020000514, "28/12/2023"),
-    (0, "IHBank", 5020000509, None),
-    (0, "IHBank", 5020000511, None),
-    (0, "IHBank", 5020000513, None),
-    (0, "IHBank", 5020000512, None),
-    (0, "IHBank", 2020022279, None),
-    (93785895.34, "IHBank", 5020000482, "19/12/2023"),
-    (0, "IHBank", 5020000486, None),
-    (0, "IHBank", 5020000490, None),
-    (0, "IHBank", 5020000535, None),
-    (0, "IHBank", 5020000494, None),
-    (0, "IHBank", 5020000499, None),
-    (0, "IHBank", 5020000498, None),
-    (0, "IHBank", 5020000542, None),
-    (0, "IHBank", 5020000472, None),
-    (0, "IHBank", 5020000500, None),
-    (0, "IHBank", 2030004907, None),
-    (2449391.04, "Banamex 503292", 2020022388, "04/12/2023"),
-    (0, "Banamex 503292", 2020022390, None),
-    (0, "Banamex 503292", 2020023308, None),
-    (0, "Banamex 503292", 2020022389, None),
-    (0, "Banamex 503292", 2020023310, None),
-    (0, "Banamex 503292", 2020023309, None),
-    (581386.00, "IHBank", 2020023793, "22/12/2023"),
-    (0, "IHBank", 2020023787, None),
-]
-
-
-def seed_banks(spark: SparkSession, rows=None) -> DataFrame:
+def seed_banks(spark: SparkSession, rows) -> DataFrame:
     """K5 seed a reference table from literal rows; text dates are day-first
     (``dd/MM/yyyy``)."""
     schema = T.StructType([T.StructField("depositos", T.DoubleType()), T.StructField("nombre", T.StringType()),
                            T.StructField("document_number", T.LongType()),
                            T.StructField("value_date_text", T.StringType())])
-    df = spark.createDataFrame([(float(a), b, c, d) for a, b, c, d in (rows or BANK_SEED)], schema)
+    df = spark.createDataFrame([(float(a), b, c, d) for a, b, c, d in rows], schema)
     return df.select("depositos", "nombre", "document_number",
                      F.to_date("value_date_text", "dd/MM/yyyy").alias("value_date"))
 

@@ -1,12 +1,13 @@
 """Incremental landing-zone ingest, each file once.
 
-The reference keeps a registry of dated file names and skips a file already
+The reference keeps a registry of file names and skips a file already
 registered.  Here Structured Streaming's file source tracks processed files in
 its checkpoint, ``trigger(availableNow=True)`` drains what has landed and
-stops, and every micro-batch is appended through ``foreachBatch``.  Because a
-retried batch may be written twice, the batch is anti-joined against the
-file names already present in the target (Q13), which makes the append
-idempotent."""
+stops, and every micro-batch goes through ``foreachBatch``.  A registry table
+beside the target has the source path of every file taken in, whether or not
+any of its rows were kept, so a replay with a new checkpoint, on another day or
+in other batches appends nothing twice.  A batch's rows are written to a folder
+named by its files, so a retry of the same batch overwrites what it left."""
 
 from __future__ import annotations
 
@@ -20,34 +21,44 @@ from pyspark.sql.utils import AnalysisException
 from ..operators.clean import new_files_only
 
 
-def _existing(spark: SparkSession, target: str, key: str) -> DataFrame | None:
+def registry_path(target: str) -> str:
+    return target.rstrip("/") + "-files"
+
+
+def _registry(spark: SparkSession, target: str) -> DataFrame:
     try:
-        return spark.read.parquet(target).select(key)
+        return spark.read.schema("source_path string").parquet(registry_path(target))
     except AnalysisException:
-        return None
+        return spark.createDataFrame([], "source_path string")
 
 
 def ingest_files(spark: SparkSession, source_dir: str, fmt: str, schema: T.StructType, target: str,
                  checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None,
-                 key: str = "file_name", options: dict | None = None,
+                 options: dict | None = None,
                  max_files_per_trigger: int | None = None) -> int:
     """Drain newly landed files of ``source_dir`` into the parquet table
     ``target``.  Returns the number of micro-batches run.  ``transform``
-    cleans/types one batch (e.g. ``bank_rows``); it must keep ``key``."""
+    cleans/types one batch (e.g. ``bank_rows``); it gets the columns of the
+    format plus ``source_file`` and ``s3_url`` (the source path)."""
     reader = spark.readStream.format(fmt).schema(schema)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.load(source_dir).withColumn("source_file", F.col("_metadata.file_name"))
+    stream = reader.load(source_dir).select("*", F.col("_metadata.file_name").alias("source_file"),
+                                            F.col("_metadata.file_path").alias("s3_url"))
     batches = []
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = transform(batch) if transform else batch.withColumn(key, F.col("source_file"))
-        seen = _existing(batch.sparkSession, target, key)
-        if seen is not None:
-            out = new_files_only(out, seen, key)
-        out.write.mode("append").parquet(target)
+        session = batch.sparkSession
+        fresh = new_files_only(batch.withColumn("source_path", F.col("s3_url")), _registry(session, target), "source_path")
+        files = fresh.select("source_path").distinct()
+        n, mark = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("source_path").cast("decimal(38,0)"))).first()
+        if n:
+            rows = fresh.drop("source_path")
+            out = transform(rows) if transform else rows.withColumn("file_name", F.col("source_file"))
+            out.write.mode("overwrite").parquet(f"{target.rstrip('/')}/files={n}_{mark}")
+            files.write.mode("append").parquet(registry_path(target))
         batches.append(epoch_id)
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)

@@ -38,7 +38,9 @@ def test_money_text(spark):
 
 
 @pytest.mark.parametrize("text,expected", [("123.0", "123"), ("123.9", "123"), (" 42 ", "42"), ("INV-7", "INV-7"),
-                                           (None, None), ("", None), ("9007199254740993", "9007199254740993")])
+                                           (None, None), ("", None), ("9007199254740993", "9007199254740993"),
+                                           ("12E3", "12E3"), ("0012", "12"), ("-007.5", "-7"), ("-0", "0"), ("000", "0"),
+                                           ("12345678901234567890123456789012345678901", "12345678901234567890123456789012345678901")])
 def test_norm_key(spark, text, expected):
     assert _one(spark, norm_key, text, "string") == expected
 

@@ -22,3 +22,18 @@ def test_incremental_ingest_each_file_once(spark):
     ingest_files(spark, landing, "csv", spark.createDataFrame([], schema).schema, target, ckpt)
     out = spark.read.parquet(target)
     assert out.count() == 7 and out.select(F.countDistinct("file_name")).first()[0] == 4
+
+
+def test_replay_with_a_new_checkpoint_and_filtered_files(spark):
+    root = tempfile.mkdtemp(prefix="t1-")
+    landing, target = (os.path.join(root, x) for x in ("landing", "target"))
+    os.makedirs(landing)
+    for i in range(2):
+        with open(os.path.join(landing, f"f{i}.csv"), "w") as f:
+            f.write(f"a{i},{i}\n")
+    schema = spark.createDataFrame([], "k string, v int").schema
+    for day in ("one", "two"):
+        ingest_files(spark, landing, "csv", schema, target, os.path.join(root, day),
+                     lambda b, day=day: b.where("v > 0").withColumn("day", F.lit(day)))
+    assert [r.day for r in spark.read.parquet(target).collect()] == ["one"]
+    assert spark.read.parquet(target + "-files").count() == 2  # the file without kept rows as well
