@@ -154,25 +154,19 @@ def exists_switch(base: DataFrame, base_key: str, a: DataFrame, b: DataFrame, sr
     key fails; the other side and keys nobody asks for are not looked at.
     ``exprs`` are derived columns evaluated on the chosen side (e.g.
     ``base_16 + cero_nacional``); ``prefix`` names the chosen columns when
-    they clash with the base.  Both sides are tagged and reduced by one
-    aggregation and attached by one left join."""
+    they clash with the base.  Each side is reduced to a row per key; a side
+    that is grouped by the key already is not exchanged again."""
     exprs = exprs or {}
     keep = [*cols, *exprs]
-    both = None
-    for tag, src in ((0, a), (1, b)):
+    out = base
+    for i, src in enumerate((a, b)):
         # derived columns are written over the source's column names and evaluated before the per-key reduction
-        s = src.select(src_key, *cols, *[e.alias(n) for n, e in exprs.items()], F.lit(tag).alias("_src"))
-        both = s if both is None else both.unionByName(s)
-    aggs = []
-    for tag in (0, 1):
-        mine = F.col("_src") == tag
-        aggs += [F.count(F.when(mine, 1)).alias(f"_n{tag}"),
-                 F.first(F.when(mine, F.struct(*keep)), ignorenulls=True).alias(f"_s{tag}")]
-    r = both.groupBy(src_key).agg(*aggs).withColumnRenamed(src_key, "_k")
-    out = base.join(r, F.col(base_key) == F.col("_k"), "left")
-    in_a = F.coalesce(F.col("_n0") > 0, F.lit(False))
+        t = strict_lookup_table(src.select(src_key, *cols, *[e.alias(n) for n, e in exprs.items()]), src_key, keep)
+        t = t.select(F.col(src_key).alias(f"_k{i}"), F.col("_n").alias(f"_n{i}"), *[F.col(c).alias(f"_s{i}_{c}") for c in keep])
+        out = out.join(t, F.col(base_key) == F.col(f"_k{i}"), "left")
+    in_a = F.col("_n0").isNotNull()
     n = F.when(in_a, F.col("_n0")).otherwise(F.col("_n1")) if strict else F.lit(1)
-    chosen = [one_row(F.when(in_a, F.col(f"_s0.{c}")).otherwise(F.col(f"_s1.{c}")), n).alias(prefix + c) for c in keep]
+    chosen = [one_row(F.when(in_a, F.col(f"_s0_{c}")).otherwise(F.col(f"_s1_{c}")), n).alias(prefix + c) for c in keep]
     return out.select(*[F.col(c) for c in base.columns], in_a.alias("_in_a"), *chosen)
 
 
