@@ -91,7 +91,7 @@ def cut_points(cells: Cells, n: int, largest: int) -> list[int]:
         low, high = cells.at_most(aim), cells.at_least(aim)
         for x in (aim, at + capacity):
             cells.touch(x, x)
-        near = low if aim - low <= high - aim else high
+        near = low if low > at and aim - low <= high - aim else high  # a shard takes a group at least
         at = max(at, min(max(near, backward[k]), cells.at_most(at + capacity)))
         cuts.append(at)
     return cuts
