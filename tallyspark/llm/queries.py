@@ -83,10 +83,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def number(rank: int):
         return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{KINDS[rank]}")
 
-    return found.select("doc_id", *map(number, range(3)), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+    return found.select("doc_id", *map(number, range(3)),
+                        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
                         spans_text(F.col("spans")).alias("spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_suffix_tree, op2_contiguous_shards, op3_rp_forest, op4_license_notices, op5_bpe, op6_transcript_roles, op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
+    own = [op1_suffix_tree, op2_contiguous_shards, op3_rp_forest, op4_license_notices, op5_bpe, op6_transcript_roles,
+           op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
     return {f.__name__: f for f in own}
