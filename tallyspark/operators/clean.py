@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .._util import as_col
 from ..functions.keys import trunc_int
 
 # Fixed values of the tax classification (Q15).

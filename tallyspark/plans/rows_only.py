@@ -20,7 +20,7 @@ from ..sources.invoices import invoice_documents, invoices, read_invoice_xml, ta
 from ..sources.ledgers import LEDGER_SPECS, clean_ledger, dispatch_sheets, read_ledger, route_bank_sheet
 from ..sources.sinks import append, create_catalog, write_json_rows, write_report
 from ..streaming.incremental import ingest_files
-from .bridge import LINE_ORDER, Model
+from .bridge import Model
 from .catalog import AS_OF, finalize
 from .ingested import ingest
 from .reports import reconciliation_listing
@@ -119,13 +119,17 @@ def land_ledger(m: Model, kind: str = "bhc_fbl3n", flag: str = "R") -> str:
     return land_sheet(ledger_sheet(m, kind, flag), scratch_path(m.spark, "landing-ledger"))
 
 
-def land_workbooks(m: Model) -> str:
-    """One landing folder with sheets of both entities: ``entity=<e>/sheet=<name>``, one of them unknown."""
+def land_workbooks(m: Model, kinds: tuple[str, ...]) -> str:
+    """A landing folder with sheets of the given kinds, of both entities: ``entity=<e>/sheet=<name>``, and one that
+    feeds no table."""
     root = scratch_path(m.spark, "landing-workbooks")
     for entity, sheet, kind, flag in (("BCS", "IVA cobrado 2440015", "bcs_fbl3n", "A"), ("BCS", "Sheet1", "bcs_fbl5n", "A"),
                                       ("BHC", "Sheet1", "bhc_fbl5n", "R"), ("BHC", "IEPS 2440020", "bhc_fbl3n", "R")):
-        land_sheet(ledger_sheet(m, kind, flag), f"{root}/entity={entity}/sheet={sheet}")
+        if kind in kinds:
+            land_sheet(ledger_sheet(m, kind, flag), f"{root}/entity={entity}/sheet={sheet}")
     for entity, sheet, kind in (("BCS", "mx-ban N8P", "bank_n8p"), ("BHC", "mx-oth N8P", "bank_n8p"), ("BCS", "Notes", "bank_pbc")):
+        if kind not in kinds and sheet != "Notes":
+            continue
         bank_sheet(m, kind).write.option("header", True).mode("overwrite").csv(f"{root}/entity={entity}/sheet={sheet}")
     return root
 
@@ -186,18 +190,18 @@ def _s6(m):
 
 @q("s6_bcs_fbl3n")
 def _s6a(m):
-    return dispatch_sheets(m.spark, land_workbooks(m))["bcs_iva_cobrado_2440015"][0].select(
+    return dispatch_sheets(m.spark, land_workbooks(m, ("bcs_fbl3n", "bcs_fbl5n")))["bcs_iva_cobrado_2440015"][0].select(
         *LEDGER_OUT, "line_item", "fiscal_year")
 
 
 @q("s6_bcs_fbl5n")
 def _s6b(m):
-    return dispatch_sheets(m.spark, land_workbooks(m))["bcs_fbl5n"][0].select(*LEDGER_OUT, "account")
+    return dispatch_sheets(m.spark, land_workbooks(m, ("bcs_fbl5n", "bhc_fbl5n")))["bcs_fbl5n"][0].select(*LEDGER_OUT, "account")
 
 
 @q("s6_bhc_fbl5n")
 def _s6c(m):
-    return dispatch_sheets(m.spark, land_workbooks(m))["bhc_fbl5n"][0].select(*LEDGER_OUT, "account", "position", "posting_key")
+    return dispatch_sheets(m.spark, land_workbooks(m, ("bcs_fbl5n", "bhc_fbl5n")))["bhc_fbl5n"][0].select(*LEDGER_OUT, "account", "position", "posting_key")
 
 
 BANK_SHEET_OUT = ("business_area", "document_number", "account", "fiscal_year", "amount_in_local_currency",
@@ -207,7 +211,7 @@ BANK_SHEET_OUT = ("business_area", "document_number", "account", "fiscal_year",
 @q("s6_bank_n8p")
 def _s6d(m):
     """Two entities' sheets in one table."""
-    return dispatch_sheets(m.spark, land_workbooks(m))["bank_n8p"][0].select(*BANK_SHEET_OUT)
+    return dispatch_sheets(m.spark, land_workbooks(m, ("bank_n8p",)))["bank_n8p"][0].select(*BANK_SHEET_OUT)
 
 
 @q("s7_route_bank_sheet")
