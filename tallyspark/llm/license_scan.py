@@ -2,9 +2,10 @@
 
 Words that license notices use mark candidate blocks in a text: from a few words before such a word to as many after
 it as the longest template has; overlapping blocks are one.  A block is compressed alone and with each template as
-zstandard raw dictionary.  The size reductions, as shares of the template's own compressed size, rank the templates;
-the best are aligned with the block word by word, and one whose wording differs little and in no version, number or
-distinguishing word is confirmed.  What lies before and after a confirmed notice is searched again.
+zstandard raw dictionary.  The size reductions, as shares of the template's own compressed size, say which templates
+are aligned with the block word by word: all that reach a least share, and all whose words stand there as they are.
+An alignment goes from place to place until one's wording differs little and in no version, number or distinguishing
+word; that confirms it.  What lies before and after a confirmed notice is searched again.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,13 +57,14 @@ TELLING = frozenset("mit apache gnu lesser affero general mozilla cc by by-sa by
 @dataclass(frozen=True)
 class Settings:
     """``before``: words of a block before its first cue.  ``least_reduction``: of a template's compressed size, to
-    be aligned.  ``aligned``: best templates to align.  ``least_match``: share of a template's words found in order."""
+    be aligned.  ``least_match``: share of a template's words found in order.  ``room``: words more than the template
+    has that a place may have."""
 
     templates: tuple = TEMPLATES
     before: int = 24
     least_reduction: float = 0.2
-    aligned: int = 4
     least_match: float = 0.85
+    room: int = 6
 
 
 WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -101,48 +104,80 @@ class Scanner:
                 out.append((low, high))
         return out
 
-    def align(self, template: int, words: list) -> tuple[int, int, float, str] | None:
+    def rooms(self, template: int, there: list[str]) -> list[tuple[int, int]]:
+        """Ranges that hold every place with as many of the template's words as a match needs, in any order."""
+        own = self.words[template]
+        has, wide, need = set(own), len(own) + self.s.room, self.s.least_match * len(own)
+        total = [0, *accumulate(w in has for w in there)]
+        out = []
+        for low in range(len(there)):
+            high = min(len(there), low + wide)
+            if total[high] - total[low] < need:
+                continue
+            if out and low <= out[-1][1]:
+                out[-1] = (out[-1][0], high)
+            else:
+                out.append((low, high))
+        return out
+
+    def align(self, template: int, there: list[str]) -> tuple[int, int, float, str] | None:
         """First and last word of the notice, the share of the template's words matched, and the differences; None if
-        the wording is another's."""
-        own, there = self.words[template], [w for w, _, _ in words]
+        the wording is another's at every place."""
+        own = self.words[template]
         matcher = SequenceMatcher(None, own, there, autojunk=False)
-        # around the longest common run
-        run = matcher.find_longest_match()
-        if not run.size:
-            return None
-        low, high = max(0, run.b - run.a - 3), min(len(there), run.b + len(own) - run.a + 3)
-        matcher.set_seq2(there[low:high])
+        open_ = self.rooms(template, there)[::-1]
+        while open_:
+            low, high = open_.pop()
+            run = matcher.find_longest_match(0, len(own), low, high)
+            if not run.size:
+                continue
+            if found := self.confirmed(own, there, run):
+                return found
+            open_ += [(run.b + run.size, high), (low, run.b)]
+        return None
+
+    def confirmed(self, own: list[str], there: list[str], run) -> tuple[int, int, float, str] | None:
+        """What ``align`` gives, for the place around a common run."""
+        margin = self.s.room // 2
+        low, high = max(0, run.b - run.a - margin), min(len(there), run.b + len(own) - run.a + margin)
+        matcher = SequenceMatcher(None, own, there[low:high], autojunk=False)
         same = [m for m in matcher.get_matching_blocks() if m.size]
-        first, last = low + same[0].b, low + same[-1].b + same[-1].size
         matched = sum(m.size for m in same) / len(own)
+        if matched < self.s.least_match:
+            return None
+        first, last = low + same[0].b, low + same[-1].b + same[-1].size
         span = there[first:last]
         diff = [(own[a:b], span[c:d]) for op, a, b, c, d in SequenceMatcher(None, own, span, autojunk=False).get_opcodes()
                 if op != "equal"]
         for old, new in diff:
             if any(w in TELLING or any(c.isdigit() for c in w) for w in {*old} ^ {*new}):
                 return None
-        if matched < self.s.least_match:
-            return None
         return first, last, matched, "; ".join(f"{' '.join(a) or '-'} > {' '.join(b) or '-'}" for a, b in diff)
 
-    def search(self, text: str, words: list) -> list[tuple]:
-        """Notices in a block."""
-        if not words:
-            return []
+    def best(self, text: str, words: list) -> tuple | None:
+        """Of the notices in a block, the one that matches best: first and last word, and the row."""
         block = text[words[0][1]:words[-1][2]]
         alone = self.bits(self.alone, block)
-        ranked = sorted(((alone - self.bits(c, block)) / size, -len(self.words[i]), -i)
-                        for i, (c, size) in enumerate(zip(self.given, self.size, strict=True)))[::-1]
+        there = [w for w, _, _ in words]
+        spelt = f" {' '.join(there)} "
         hits = []
-        for reduction, _, i in ranked[:self.s.aligned]:
-            if reduction < self.s.least_reduction:
-                break
-            if found := self.align(-i, words):
-                hits.append((found[2], found[1] - found[0], reduction, i, found))
+        for i, (own, c, size) in enumerate(zip(self.words, self.given, self.size, strict=True)):
+            reduction = (alone - self.bits(c, block)) / size
+            if reduction < self.s.least_reduction and f" {' '.join(own)} " not in spelt:
+                continue
+            if found := self.align(i, there):
+                hits.append((found[2], found[1] - found[0], reduction, -i, found))
         if not hits:
-            return []
+            return None
         _, _, reduction, i, (first, last, matched, diff) = max(hits)
-        own = (self.s.templates[-i][0], -i, words[first][1], words[last - 1][2], reduction, matched, diff)
+        return first, last, (self.s.templates[-i][0], -i, words[first][1], words[last - 1][2], reduction, matched, diff)
+
+    def search(self, text: str, words: list) -> list[tuple]:
+        """Notices in a block."""
+        found = self.best(text, words) if words else None
+        if not found:
+            return []
+        first, last, own = found
         return self.search(text, words[:first]) + [own] + self.search(text, words[last:])
 
     def scan(self, text: str) -> list[tuple]:

@@ -47,3 +47,15 @@ def test_documents_against_exact_search(spark, tmp_path):
 def test_odd_rows(docs, empty):
     assert license_notices(docs).collect() == [] and license_notices(empty).collect() == []
     assert license_notices(docs).columns[:3] == ["doc_id", "license", "template"]
+
+
+def test_exact_notice_beside_rejected_ones():
+    scanner = Scanner(Settings())
+    names = lambda t: [f[0] for f in scanner.scan(t)]
+    refused = "This work is licensed under the GNU Lesser General Public License, version 2.1."
+    assert names(refused) == []
+    for name, text in TEMPLATES:
+        assert names(f"{refused} {text}") == [name] and names(f"{text} {refused}") == [name]
+    # a refused wording of the same template, longer in common with it than the other's runs
+    assert names("This work is licensed under the GNU General Public License, version 7, and this other work is licensed "
+                 "under the old GNU General Public License, version 3.") == ["GPL-3.0"]
