@@ -5,16 +5,17 @@ it as the longest template has; overlapping blocks are one.  A block is compress
 zstandard raw dictionary.  The size reductions, as shares of the template's own compressed size, say which templates
 are aligned with the block word by word: all that reach a least share, and all whose words stand there as they are.
 An alignment goes from place to place until one's wording differs little and in no version, number or distinguishing
-word; that confirms it.  What lies before and after a confirmed notice is searched again.
+word; that confirms it.  What lies before and after a confirmed notice is searched again.  A long block is searched by
+windows of bounded size.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,6 +83,7 @@ class Scanner:
         self.s, self.cues = s, re.compile(CUES)
         self.words = [[w for w, _, _ in _words(t)] for _, t in s.templates]
         self.after = max(map(len, self.words))
+        self.reach = self.after + s.room
         self.alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
             t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in s.templates]
@@ -107,12 +109,19 @@ class Scanner:
     def rooms(self, template: int, there: list[str]) -> list[tuple[int, int]]:
         """Ranges that hold every place with as many of the template's words as a match needs, in any order."""
         own = self.words[template]
-        has, wide, need = set(own), len(own) + self.s.room, self.s.least_match * len(own)
-        total = [0, *accumulate(w in has for w in there)]
-        out = []
+        left, wide, need = Counter(own), len(own) + self.s.room, self.s.least_match * len(own)
+        out, shared, high = [], 0, 0
         for low in range(len(there)):
-            high = min(len(there), low + wide)
-            if total[high] - total[low] < need:
+            while high < min(len(there), low + wide):
+                if (w := there[high]) in left:
+                    shared += left[w] > 0
+                    left[w] -= 1
+                high += 1
+            enough = shared >= need
+            if (w := there[low]) in left:
+                left[w] += 1
+                shared -= left[w] > 0
+            if not enough:
                 continue
             if out and low <= out[-1][1]:
                 out[-1] = (out[-1][0], high)
@@ -172,17 +181,33 @@ class Scanner:
         _, _, reduction, i, (first, last, matched, diff) = max(hits)
         return first, last, (self.s.templates[-i][0], -i, words[first][1], words[last - 1][2], reduction, matched, diff)
 
-    def search(self, text: str, words: list) -> list[tuple]:
-        """Notices in a block."""
-        found = self.best(text, words) if words else None
-        if not found:
-            return []
-        first, last, own = found
-        return self.search(text, words[:first]) + [own] + self.search(text, words[last:])
+    def window(self, text: str, words: list, low: int, high: int) -> list[tuple[int, int, tuple]]:
+        """Notices between two words, each as ``best`` gives it, in order."""
+        out, open_ = [], [(low, high)]
+        while open_:
+            low, high = open_.pop()
+            if low < high and (found := self.best(text, words[low:high])):
+                first, last, own = low + found[0], low + found[1], found[2]
+                out.append((first, last, own))
+                open_ += [(low, first), (last, high)]
+        return sorted(out)
+
+    def search(self, text: str, words: list, low: int, high: int) -> list[tuple]:
+        """Notices in a block, by windows that overlap by the longest notice."""
+        out = []
+        while low < high:
+            end = min(high, low + 4 * self.reach)
+            # what starts before this word ends in the window
+            low, found = high if end == high else end - self.reach, self.window(text, words, low, end)
+            for first, last, own in found:
+                if first < low:
+                    out.append((last, own))
+            low = max([low, *(last for last, _ in out[-1:])])
+        return [own for _, own in out]
 
     def scan(self, text: str) -> list[tuple]:
         words = _words(text)
-        return [f for low, high in self.blocks(text, words) for f in self.search(text, words[low:high])]
+        return [f for low, high in self.blocks(text, words) for f in self.search(text, words, low, high)]
 
 
 def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:

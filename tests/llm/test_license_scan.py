@@ -59,3 +59,17 @@ def test_exact_notice_beside_rejected_ones():
     # a refused wording of the same template, longer in common with it than the other's runs
     assert names("This work is licensed under the GNU General Public License, version 7, and this other work is licensed "
                  "under the old GNU General Public License, version 3.") == ["GPL-3.0"]
+
+
+def test_many_notices_close_together():
+    scanner = Scanner(Settings())
+    order = [i * 7 % len(TEMPLATES) for i in range(1500)]
+    whole, spans = "", []
+    for k, i in enumerate(order):
+        spans.append(len(whole))
+        whole += TEMPLATES[i][1] + (" ", "\n", f" {prose(k, 9)}. ")[k % 3]
+    found = scanner.scan(whole)
+    assert [f[0] for f in found] == [TEMPLATES[i][0] for i in order]
+    assert [f[2] for f in found] == spans and all(f[5] == 1.0 for f in found)
+    equal = scanner.scan((TEMPLATES[0][1] + " ") * 1500)
+    assert [f[0] for f in equal] == ["MIT"] * 1500
