@@ -1,8 +1,8 @@
 """License scans by conditional compression.
 
 Words that license notices use mark candidate blocks in a text: from a few words before such a word to as many after
-it as the longest template has; overlapping blocks are one.  A block is compressed alone and with each template as
-zstandard raw dictionary.  The size reductions, as shares of the template's own compressed size, say which templates
+it as the longest template has; overlapping blocks are one.  A block's words are compressed alone and with each
+template's as zstandard raw dictionary.  The size reductions, as shares of the template's own compressed size, say which templates
 are aligned with the block word by word: all that reach a least share, and all whose words stand there as they are.
 An alignment goes from place to place until one's wording differs little and in no version, number or distinguishing
 word; that confirms it.  What lies before and after a confirmed notice is searched again.  A long block is searched by
@@ -49,8 +49,8 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: Every template has such a word.
-CUES = r"(?i)licen[sc]e|licensed|permission|redistribut|public domain"
+#: Every template has such a word.  Between two words stands whatever may part words.
+CUES = r"(?i)licen[sc]e|licensed|permission|redistribut|public[\W_]+domain"
 #: Words that tell licenses from each other: a difference in one of them rejects the template.
 TELLING = frozenset("mit apache gnu lesser affero general mozilla cc by by-sa by-nc by-nd cc0 bsd isc public".split())
 
@@ -86,12 +86,12 @@ class Scanner:
         self.reach = self.after + s.room
         self.alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
-            t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in s.templates]
-        self.size = [self.bits(self.alone, t) for _, t in s.templates]
+            " ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for own in self.words]
+        self.size = [self.bits(self.alone, " ".join(own)) for own in self.words]
 
     @staticmethod
     def bits(compressor, text: str) -> int:
-        return len(compressor.compress(text.lower().encode()))
+        return len(compressor.compress(text.encode()))
 
     def blocks(self, text: str, words: list) -> list[tuple[int, int]]:
         """First and last word of each block."""
@@ -163,16 +163,16 @@ class Scanner:
                 return None
         return first, last, matched, "; ".join(f"{' '.join(a) or '-'} > {' '.join(b) or '-'}" for a, b in diff)
 
-    def best(self, text: str, words: list) -> tuple | None:
+    def best(self, words: list) -> tuple | None:
         """Of the notices in a block, the one that matches best: first and last word, and the row."""
-        block = text[words[0][1]:words[-1][2]]
-        alone = self.bits(self.alone, block)
         there = [w for w, _, _ in words]
-        spelt = f" {' '.join(there)} "
+        # line breaks, comment marks and punctuation between words do not count
+        block = " ".join(there)
+        alone = self.bits(self.alone, block)
         hits = []
         for i, (own, c, size) in enumerate(zip(self.words, self.given, self.size, strict=True)):
             reduction = (alone - self.bits(c, block)) / size
-            if reduction < self.s.least_reduction and f" {' '.join(own)} " not in spelt:
+            if reduction < self.s.least_reduction and f" {' '.join(own)} " not in f" {block} ":
                 continue
             if found := self.align(i, there):
                 hits.append((found[2], found[1] - found[0], reduction, -i, found))
@@ -181,24 +181,24 @@ class Scanner:
         _, _, reduction, i, (first, last, matched, diff) = max(hits)
         return first, last, (self.s.templates[-i][0], -i, words[first][1], words[last - 1][2], reduction, matched, diff)
 
-    def window(self, text: str, words: list, low: int, high: int) -> list[tuple[int, int, tuple]]:
+    def window(self, words: list, low: int, high: int) -> list[tuple[int, int, tuple]]:
         """Notices between two words, each as ``best`` gives it, in order."""
         out, open_ = [], [(low, high)]
         while open_:
             low, high = open_.pop()
-            if low < high and (found := self.best(text, words[low:high])):
+            if low < high and (found := self.best(words[low:high])):
                 first, last, own = low + found[0], low + found[1], found[2]
                 out.append((first, last, own))
                 open_ += [(low, first), (last, high)]
         return sorted(out)
 
-    def search(self, text: str, words: list, low: int, high: int) -> list[tuple]:
+    def search(self, words: list, low: int, high: int) -> list[tuple]:
         """Notices in a block, by windows that overlap by the longest notice."""
         out = []
         while low < high:
             end = min(high, low + 4 * self.reach)
             # what starts before this word ends in the window
-            low, found = high if end == high else end - self.reach, self.window(text, words, low, end)
+            low, found = high if end == high else end - self.reach, self.window(words, low, end)
             for first, last, own in found:
                 if first < low:
                     out.append((last, own))
@@ -207,7 +207,7 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple]:
         words = _words(text)
-        return [f for low, high in self.blocks(text, words) for f in self.search(text, words, low, high)]
+        return [f for low, high in self.blocks(text, words) for f in self.search(words, low, high)]
 
 
 def license_notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:

@@ -73,3 +73,12 @@ def test_many_notices_close_together():
     assert [f[2] for f in found] == spans and all(f[5] == 1.0 for f in found)
     equal = scanner.scan((TEMPLATES[0][1] + " ") * 1500)
     assert [f[0] for f in equal] == ["MIT"] * 1500
+
+
+def test_wrapped_forms_of_every_template(spark):
+    rows = [(f"{i}|{j}", prose(5, 30) + gap + text.replace(" ", gap)) for i, (_, text) in enumerate(TEMPLATES)
+            for j, gap in enumerate(("\n", "  ", "\r\n\t", "\n * "))]
+    found = {}
+    for r in license_notices(spark.createDataFrame(rows, "doc_id string, text string")).collect():
+        found.setdefault(r.doc_id, []).append(r.license)
+    assert found == {k: [TEMPLATES[int(k.split("|")[0])][0]] for k, _ in rows}
