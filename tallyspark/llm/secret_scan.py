@@ -1,7 +1,7 @@
 """Secret scans: known patterns, and a randomness test battery over other token-like strings.
 
 DataFrame functions only.  A candidate is a run of token characters without a known pattern's span in it.  Its
-encoding (decimal, hexadecimal, base32, base64, its URL form, alphanumeric) is inferred from the characters it has,
+encoding (decimal, hexadecimal, base32 and base36 in either case, alphanumeric, base64, its URL form) is inferred from the characters it has,
 and gives the alphabet for three tests of uniform randomness: chi-squared over the alphabet, runs above and below
 its middle, and serial correlation at lag one.  A candidate that passes them still may be an ordinary word by
 chance, the more so the shorter it is.  So it also gets a p-value under the hypothesis that it is ordinary text
@@ -26,15 +26,19 @@ KINDS = ("assign", "access", "hex", "random")
 
 UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 LOWER = UPPER.lower()
-#: Encodings in the order in which they are tried: name, pattern, alphabet.
+#: Encodings in the order in which they are tried: name, pattern, alphabet.  The wide ones leave what has letters of
+#: one case only to those of one case, which come last.
 ENCODINGS = (
     ("decimal", "^[0-9]+$", DIGITS),
     ("hex", "^[0-9a-f]+$", DIGITS + "abcdef"),
     ("HEX", "^[0-9A-F]+$", DIGITS + "ABCDEF"),
     ("base32", "^[A-Z2-7]+=*$", UPPER + "234567"),
-    ("alphanumeric", "^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
-    ("base64", "^[0-9A-Za-z+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
-    ("base64url", "^[0-9A-Za-z_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
+    ("alphanumeric", "^(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
+    ("base64", "^(?=.*[+/])[0-9A-Za-z+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
+    ("base64url", "^(?=.*[_-])[0-9A-Za-z_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
+    ("base32 lower", "^[a-z2-7]+=*$", LOWER + "234567"),
+    ("base36 lower", "^[0-9a-z]+$", DIGITS + LOWER),
+    ("base36", "^[0-9A-Z]+$", DIGITS + UPPER),
 )
 
 

@@ -109,3 +109,25 @@ def test_redacted(docs):
     assert out[0] is None and out[5] == {r.doc_id: r.text for r in docs.collect()}[5]
     assert out[20].startswith("[SECRET] and AKIASHORT [SECRET] é secret:é [SECRET]")
     assert fit_thresholds(scanned(docs.limit(0), "text", Battery()), Battery()) == [401] * 6
+
+
+def test_one_case_tokens_of_all_lengths(spark):
+    """Random tokens of one case, from alphabets spelt out here, pass as uniform at every length and are accepted where
+    the length gives the other test its power; ordinary words are left."""
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    r, rows = random.Random(12), []
+    for alphabet in (letters + "234567", letters + digits):
+        for a in (alphabet, alphabet.upper()):
+            for n in (32, 48, 64, 96, 128, 256):
+                rows += [((a, n), "".join(r.choices(a, k=n))) for _ in range(40)]
+    words = ["internationalisierungsbehoerde", "theadministrationofthecountry", "anbletitionthtionbletion"] * 100
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate([t for _, t in rows] + words)],
+                               "doc_id long, text string")
+    uniform = {x.doc_id: any(c.bin for c in x.scan.candidates) for x in scanned(df, "text", Battery()).collect()}
+    spans = {x.doc_id: bool(x.spans) for x in secret_spans(df).collect()}
+    passed, found = {}, {}
+    for i, (k, _) in enumerate(rows):
+        passed[k], found[k] = passed.get(k, 0) + uniform[i], found.get(k, 0) + spans[i]
+    assert len(found) == 24 and min(passed.values()) >= 37, passed
+    assert all(n >= (30 if k[1] == 64 else 36) for k, n in found.items() if k[1] >= 64), found
+    assert not any(spans[i] for i in range(len(rows), len(spans)))
