@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import read
 
-WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+WORD_BPE, BYTE_BPE, PIECE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer(name: str) -> str:
@@ -88,7 +88,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spans_text(F.col("spans")).alias("spans"))
 
 
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.sentence_pieces import piece_documents
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = piece_documents(docs, tokenizer(PIECE_BPE), out="coded", packed=True)
+    return coded.select("doc_id", (F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("coded.ids", 256).alias("ids_sha256"),
+                        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
+                        F.col("coded.agrees").alias("library_agrees"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_suffix_tree, op2_contiguous_shards, op3_rp_forest, op4_license_notices, op5_bpe, op6_transcript_roles,
-           op7_compression_bands, op8_simhash, op9_packing, op10_secrets]
+           op7_compression_bands, op8_simhash, op9_packing, op10_secrets, op13_sentence_pieces]
     return {f.__name__: f for f in own}
