@@ -88,6 +88,37 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spans_text(F.col("spans")).alias("spans"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Of ids whose crc32 is divisible by 10 the text's words, from one of them on, repeat a stretch of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), tail), F.lit(1), n), " ")
+    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), planted).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.periodic_runs import periodic_runs
+
+    docs = with_planted_runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs(docs, least_length=6, least_exponent=4, out="found").select("doc_id", "found.*")
+    run = "struct<start: bigint, length: bigint, period: bigint>"
+    longest = F.aggregate(
+        "runs", F.lit(None).cast(run),
+        lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r)
+        .otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[k].cast("string") for k in ("start", "length", "period"))))
+    text = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"),
+                        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")) \
+        .select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                "runs_sha256", "collapsed_sha256", "n_words")
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.sentence_pieces import piece_documents
 
@@ -101,5 +132,6 @@ def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_suffix_tree, op2_contiguous_shards, op3_rp_forest, op4_license_notices, op5_bpe, op6_transcript_roles,
-           op7_compression_bands, op8_simhash, op9_packing, op10_secrets, op13_sentence_pieces]
+           op7_compression_bands, op8_simhash, op9_packing, op10_secrets, op11_periodic_runs,
+           op13_sentence_pieces]
     return {f.__name__: f for f in own}
