@@ -4,6 +4,8 @@ A text is normalized as the model says and cut before runs of the space mark, wh
 after another character.  Within a part the characters are symbols linked to their neighbours; an agenda holds the
 adjacent pairs whose joint string is a piece, best score first and leftmost first among equal scores.  Taking a pair
 joins its symbols and offers the two new neighbouring pairs; entries whose symbols have changed since are passed over.
+The agenda of a long part is a heap.  Those of many short parts are the rows of a table, in the order of the text: each
+round takes the first of the best entries of every row.
 Symbols that are no piece become byte pieces, or the unknown piece where the vocabulary has no bytes.
 
 Each Arrow batch is then encoded and decoded by the sentencepiece library too, and ``agrees`` says of each row whether
@@ -17,6 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ SPACE = "▁"
 UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 3, 4, 5, 6
 #: Parts whose ids a task keeps, and the longest that are kept.
 KEPT, KEPT_LENGTH = 300_000, 64
+#: Parts up to this length share a table of agendas, so many at a time; NONE: a pair that is no piece.
+SHORT, TABLE, NONE = 24, 4096, (1 << 31) - 1
 
 
 @dataclass
@@ -44,6 +49,11 @@ class Pieces:
     cuts: bool  #: no piece holds the space mark after another character
     surface: list[str | bytes]  #: what an id decodes to; bytes: of a byte piece
     prefix: bool  #: normalization puts a space mark before the text
+    stripped: set[int]  #: pieces that begin with the space mark
+    characters: np.ndarray  #: id of each character that is a piece, or a byte; else -1
+    pairs: np.ndarray  #: two pieces that make one (left << 32 | right), sorted
+    ranks: np.ndarray  #: its rank
+    made: np.ndarray  #: its id
     known: dict[str, list[int]] = field(default_factory=dict)
 
     @staticmethod
@@ -61,16 +71,67 @@ class Pieces:
             "" if p.type == CONTROL else spec.trainer_spec.unk_surface if p.type == UNKNOWN
             else bytes([int(p.piece[3:-1], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ") for p in spec.pieces]
         bytes_of = {s: i for i, s in enumerate(surface) if isinstance(s, bytes)}
+        # bytes of ASCII are whole characters wherever they stand
+        surface = [s.decode() if isinstance(s, bytes) and s < b"\x80" else s for s in surface]
         frozen = [p.piece for p in spec.pieces if p.type == USER_DEFINED]
-        return Pieces({p: place[s] for p, _, s in plain}, {p: i for p, i, _ in plain},
+        ids = {p: i for p, i, _ in plain}
+        characters = np.full(0x110000, -1, np.int32)
+        if spec.trainer_spec.byte_fallback:
+            characters[:128] = [bytes_of[bytes([b])] for b in range(128)]
+        for p, i in ids.items():
+            if len(p) == 1:
+                characters[ord(p)] = i
+        joined = np.array([(ids[p[:k]] << 32 | ids[p[k:]], place[s], i) for p, i, s in plain for k in range(1, len(p))
+                           if p[:k] in ids and p[k:] in ids], np.int64).reshape(-1, 3)
+        joined = joined[np.argsort(joined[:, 0])]
+        return Pieces({p: place[s] for p, _, s in plain}, ids,
                       [bytes_of[bytes([b])] for b in range(256)] if spec.trainer_spec.byte_fallback else None,
                       kinds.index(UNKNOWN), spec.trainer_spec.bos_id, spec.trainer_spec.eos_id,
                       sorted(frozen, key=len, reverse=True),
                       not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, _ in plain), surface,
-                      spec.normalizer_spec.add_dummy_prefix)
+                      spec.normalizer_spec.add_dummy_prefix, {i for p, i in ids.items() if p[:1] == SPACE}, characters,
+                      joined[:, 0].copy(), joined[:, 1].astype(np.int32), joined[:, 2].astype(np.int32))
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs of symbols among ``pairs``, and their ranks (NONE: they make no piece)."""
+        key = (left.astype(np.int64) << 32) | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return at, np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], NONE)
+
+    def short_ids(self, parts: list[str]) -> list[list[int]]:
+        """Ids of short parts of known characters, in rounds over a table of their symbols and agendas."""
+        sizes = np.array([len(p) for p in parts])
+        sym = np.full((len(parts), int(sizes.max())), -1, np.int32)
+        sym[np.arange(sym.shape[1]) < sizes[:, None]] = self.symbols("".join(parts))
+        out, row = np.full_like(sym, -1), np.arange(len(parts))
+        agenda = self.find(sym[:, :-1].ravel(), sym[:, 1:].ravel())[1].reshape(len(parts), -1)
+        while agenda.shape[1]:
+            line = np.arange(len(row))
+            i = agenda.argmin(axis=1)
+            live = agenda[line, i] < NONE
+            if not live.all():
+                out[row[~live], :sym.shape[1]] = sym[~live]
+                sym, agenda, row, i = sym[live], agenda[live], row[live], i[live]
+                line = np.arange(len(row))
+                if not len(row):
+                    break
+            new = self.made[self.find(sym[line, i], sym[line, i + 1])[0]]
+            columns = np.arange(sym.shape[1] - 1)
+            sym = np.take_along_axis(sym, columns + (columns > i[:, None]), axis=1)
+            agenda = np.take_along_axis(agenda, columns[:-1] + (columns[:-1] >= i[:, None]), axis=1)
+            sym[line, i] = new
+            inner, outer = np.flatnonzero(i > 0), np.flatnonzero(i < agenda.shape[1])
+            agenda[inner, i[inner] - 1] = self.find(sym[inner, i[inner] - 1], new[inner])[1]
+            agenda[outer, i[outer]] = self.find(new[outer], sym[outer, i[outer] + 1])[1]
+        out[row, :sym.shape[1]] = sym
+        ends, ids = np.cumsum((out >= 0).sum(axis=1)).tolist(), out[out >= 0].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def symbols(self, text: str) -> np.ndarray:
+        return self.characters[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
 
     def merged(self, part: str) -> list[str]:
-        """Symbols of a part after all merges."""
+        """Symbols of a part after all merges, the agenda being a heap."""
         sym, n, rank = list(part), len(part), self.rank.get
         agenda = [(r, i, 2) for i in range(n - 1) if (r := rank(sym[i] + sym[i + 1])) is not None]
         heapq.heapify(agenda)
@@ -112,31 +173,57 @@ class Pieces:
             return [SPACE + p for p in text[1:].split(SPACE)]
         return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a normalized text, without begin and end."""
-        known, out, last = self.known, [], None
-        pieces = re.split("(" + "|".join(map(re.escape, self.frozen)) + ")", text) if self.frozen else [text]
-        for k, piece in enumerate(pieces):
-            if k % 2:
-                out.append(self.ids[piece])
-                continue
-            for part in self.parts(piece):
-                got = known.get(part)
-                if got is None:
-                    got = self.part_ids(part)
-                    if len(part) <= KEPT_LENGTH:
-                        if len(known) >= KEPT:
-                            known.clear()
-                        known[part] = got
-                out += got
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of normalized texts, without begin and end."""
+        cut = [self.parts(t) for t in texts]
+        if self.frozen:
+            around = re.compile("(" + "|".join(map(re.escape, self.frozen)) + ")")
+            cut = [[q for k, piece in enumerate(around.split(t)) for q in ([piece] if k % 2 else self.parts(piece))]
+                   for t in texts]
+        if len(self.known) > KEPT:
+            self.known = {}
+        known = self.known
+        known.update((p, [self.ids[p]]) for p in self.frozen)
+        new = sorted(set().union(*cut).difference(known), key=len)
+        known.update(self.learn(new))
+        out = [[i for part in parts for i in known[part]] for parts in cut]
+        for part in reversed(new):  # the longest are at the end
+            if len(part) <= KEPT_LENGTH:
+                break
+            del known[part]
         if self.byte_ids is None:  # neighbouring unknown symbols are one
-            out = [i for i, last in zip(out, [None, *out], strict=False) if i != self.unknown or last != self.unknown]
+            out = [[i for i, last in zip(ids, [None, *ids], strict=False) if i != self.unknown or last != self.unknown]
+                   for ids in out]
         return out
 
+    def learn(self, parts: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Ids of different parts, the shortest first."""
+        at = 0
+        while at < len(parts):
+            some = [p for p in parts[at:at + TABLE] if 0 < len(p) <= SHORT]
+            if some:
+                sizes = np.array([len(p) for p in some])
+                strange = np.logical_or.reduceat(self.symbols("".join(some)) < 0, np.cumsum(sizes) - sizes)
+                some = [p for p, s in zip(some, strange.tolist(), strict=True) if not s]
+            yield from zip(some, self.short_ids(some) if some else [], strict=True)
+            rest = set(some)
+            yield from ((p, self.part_ids(p)) for p in parts[at:at + TABLE] if p not in rest)
+            at += TABLE
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; control pieces give none, bytes that are not UTF-8 replacement characters."""
-        surface, out, at = self.surface, [], 0
+        surface = self.surface
         strings = [surface[i] for i in ids]
+        try:
+            text = "".join(strings)
+        except TypeError:
+            text = self._with_bytes(strings)
+        first = next((i for i in ids if surface[i]), self.unknown)
+        return text[1:] if self.prefix and first in self.stripped else text
+
+    @staticmethod
+    def _with_bytes(strings: list[str | bytes]) -> str:
+        out, at = [], 0
         while at < len(strings):
             if isinstance(strings[at], str):
                 out.append(strings[at])
@@ -154,9 +241,7 @@ class Pieces:
                     out.append(raw[place:place + e.start].decode() + "�")
                     place += e.start + 1
             at = stop
-        text = "".join(out)
-        first = next((i for i in ids if surface[i]), self.unknown)
-        return text[1:] if self.prefix and first != self.unknown and surface[first][:1] == " " else text
+        return "".join(out)
 
 
 def sentence_pieces(text: Column, model: bytes, begin: bool = True, end: bool = True, packed: bool = False) -> Column:
@@ -167,7 +252,6 @@ def sentence_pieces(text: Column, model: bytes, begin: bool = True, end: bool =
 
     @F.arrow_udf(f"struct<ids: {ids_type}, decoded: string, agrees: boolean>")
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import numpy as np
         import sentencepiece
 
         if not holder:
@@ -175,17 +259,17 @@ def sentence_pieces(text: Column, model: bytes, begin: bool = True, end: bool =
         pieces, library = holder
         head, tail = [pieces.begin] * begin, [pieces.end] * end
         for batch in batches:
-            ids, decoded, agrees = [], [], []
+            packs, decoded, agrees = [], [], []
             for block in _blocks([t or "" for t in batch.to_pylist()]):
-                mine = [[*head, *pieces.encode(t), *tail] for t in library.normalize(block)]
+                mine = [[*head, *ids, *tail] for ids in pieces.encode(library.normalize(block))]
                 back = [pieces.decode(i) for i in mine]
                 theirs = library.encode(block, add_bos=begin, add_eos=end, num_threads=1)
                 again = library.decode(theirs)
-                ids += [np.array(i, np.dtype("<u4")).tobytes() for i in mine] if packed else mine
+                packs += [np.array(i, np.dtype("<u4")).tobytes() for i in mine] if packed else mine
                 decoded += back
                 agrees += [a == b and c == d for a, b, c, d in zip(mine, theirs, back, again, strict=True)]
             yield pa.StructArray.from_arrays(
-                [pa.array(ids, pa.binary() if packed else pa.list_(pa.int32())), pa.array(decoded, pa.string()),
+                [pa.array(packs, pa.binary() if packed else pa.list_(pa.int32())), pa.array(decoded, pa.string()),
                  pa.array(agrees, pa.bool_())], ["ids", "decoded", "agrees"])
 
     return coded(text)
