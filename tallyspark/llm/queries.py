@@ -119,6 +119,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "runs_sha256", "collapsed_sha256", "n_words")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.prefix_trie import prefix_trie
+
+    c = F.col("conv_id")
+    return prefix_trie(read(spark, sf_dir, "conversations"), base_of=c - c % 100,
+                       head_turns=F.crc32(c.cast("string")) % 6)
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.sentence_pieces import piece_documents
 
@@ -133,5 +141,5 @@ def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_suffix_tree, op2_contiguous_shards, op3_rp_forest, op4_license_notices, op5_bpe, op6_transcript_roles,
            op7_compression_bands, op8_simhash, op9_packing, op10_secrets, op11_periodic_runs,
-           op13_sentence_pieces]
+           op12_prefix_trie, op13_sentence_pieces]
     return {f.__name__: f for f in own}
