@@ -29,7 +29,7 @@ def text_key(c) -> Column:
 
 def dec_comma(c, scale: int = 5) -> Column:
     """Q7 decimal comma ``"18,5"`` -> 18.5; unparsable text -> NULL."""
-    return F.regexp_replace(F.trim(as_col(c)), ",", ".").try_cast(f"decimal(20,{scale})")
+    return F.replace(F.trim(as_col(c)), F.lit(","), F.lit(".")).try_cast(f"decimal(20,{scale})")
 
 
 def trunc_int(c) -> Column:

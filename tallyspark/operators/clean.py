@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.keys import trunc_int
+from ..functions.parsing import Cell, read_cell
 
 # Fixed values of the tax classification (Q15).
 VAT_CODE, IEPS_CODE = "002", "003"
@@ -39,8 +40,7 @@ def require_header(df: DataFrame, cols: Sequence[str]) -> bool:
 
 def strip_chars(df: DataFrame, chars: str = "'") -> DataFrame:
     """Q3: remove ``chars`` from every string column (one projection)."""
-    pattern = "[" + "".join("\\" + ch for ch in chars) + "]"
-    return df.select(*[F.regexp_replace(F.col(f"`{f.name}`"), pattern, "").alias(f.name)
+    return df.select(*[F.translate(F.col(f"`{f.name}`"), chars, "").alias(f.name)
                        if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`")
                        for f in df.schema.fields])
 
@@ -57,9 +57,12 @@ def trailing_rows(df: DataFrame, n: int, line_col: str, file_col: str = "file_na
 
 def split_last(df: DataFrame, n: int, line_col: str, file_col: str = "file_name") -> tuple[DataFrame, DataFrame]:
     """Q4: (rows but the last ``n`` of every file, those last rows).  A row whose line number is no number is none of
-    the last."""
+    the last.  Where rows carry the number of their file's rows (``file_rows``), that is a plain filter."""
     if n <= 0:
         return df, df.limit(0)
+    if "file_rows" in df.columns:
+        last = F.col(line_col) > F.col("file_rows") - n
+        return df.where(~last), df.where(last)
     tagged = df.join(trailing_rows(df, n, line_col, file_col), file_col, "left")
     last = F.coalesce(F.col(line_col).try_cast("bigint") >= F.col("_first"), F.lit(False))
     own = [F.col(f"`{c}`") for c in df.columns]
@@ -150,6 +153,9 @@ class LedgerSpec:
     columns: dict[str, str]              # canonical column -> source header
     types: dict[str, str] = field(default_factory=dict)   # canonical column -> spark type
     mandatory: Sequence[str] = ()        # canonical columns that must parse
+    whole: Sequence[str] = ()            # canonical columns that must be digits where they are not blank
+    lenient: Sequence[str] = ()          # canonical columns whose unreadable text counts as blank
+    defaults: dict[str, object] = field(default_factory=dict)  # canonical column -> value of a blank cell
     trailing_rows: int = 0
     marker_col: str | None = None
     date_formats: Sequence[str] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy")
@@ -158,43 +164,52 @@ class LedgerSpec:
 def canonicalise(df: DataFrame, spec: LedgerSpec) -> DataFrame:
     """Q10 (+Q6-Q9): landed all-STRING sheet -> canonical typed columns in
     one projection.  Key-like columns go through ``norm_key``; numbers
-    accept a decimal comma; dates try each format (bad text -> NULL)."""
-    from ..functions.dates import parse_ts
-    from ..functions.keys import dec_comma, norm_key, nz_string, text_key
+    accept a decimal comma; dates try each format (:func:`spec_rules` rejects what none reads)."""
+    return df.select(*typed_cells(df, spec), *lineage(df))
+
+
+def typed_cells(df: DataFrame, spec: LedgerSpec, prefix: str = "") -> list[Column]:
     out = []
-    for canon, header in spec.columns.items():
-        src = F.col(f"`{header}`") if header in df.columns else F.lit(None).cast("string")
-        t = spec.types.get(canon, "string")
-        if t == "key":
-            e = norm_key(src)
-        elif t == "text_key":
-            e = text_key(src)
-        elif t.startswith("decimal") or t in ("double", "float"):
-            e = dec_comma(src, int(t.split(",")[1].rstrip(")")) if t.startswith("decimal") else 5).cast(t)
-        elif t in ("bigint", "int"):
-            e = dec_comma(src).cast("bigint").cast(t)
-        elif t in ("timestamp", "date"):
-            e = parse_ts(nz_string(src), *spec.date_formats)
-            e = e.cast("date") if t == "date" else e
-        else:
-            e = nz_string(src)
-        out.append(e.alias(canon))
-    passthrough = [F.col(c) for c in ("file_name", "s3_url", "line_no", "sheet") if c in df.columns]
-    if "line_no" in df.columns:
-        passthrough.append(F.col("line_no").try_cast("bigint").alias("ingest_seq"))
-    return df.select(*out, *passthrough)
+    for canon in spec.columns:
+        value = cell_of(df, spec, canon).value
+        out.append((F.coalesce(value, F.lit(spec.defaults[canon])) if canon in spec.defaults else value).alias(prefix + canon))
+    return out
+
+
+def lineage(df: DataFrame) -> list[Column]:
+    """The columns that say where a landed row stands."""
+    own = [F.col(c) for c in ("file_name", "s3_url", "line_no", "sheet") if c in df.columns]
+    if "ingest_seq" in df.columns:
+        return [*own, F.col("ingest_seq")]
+    return [*own, F.col("line_no").try_cast("bigint").alias("ingest_seq")] if "line_no" in df.columns else own
+
+
+def type_and_split(df: DataFrame, spec: LedgerSpec) -> tuple[DataFrame, DataFrame]:
+    """Q10-Q12: (typed good rows, rejected rows as landed with ``reject_reason``).  Every cell is parsed once, in one
+    projection; the row number in it keeps the optimizer from copying the parsing into the filters."""
+    reasons = [F.when(~F.coalesce(r.ok, F.lit(False)), F.lit(r.name)) for r in spec_rules(df, spec)]
+    tagged = df.select("*", *typed_cells(df, spec, "_typed_"), F.concat_ws(";", *reasons).alias("reject_reason"),
+                       F.monotonically_increasing_id().alias("_parsed"))
+    good = tagged.where("reject_reason = ''").select(*[F.col(f"_typed_{c}").alias(c) for c in spec.columns], *lineage(df))
+    return good, tagged.where("reject_reason <> ''").select(*[F.col(f"`{c}`") for c in df.columns], "reject_reason")
+
+
+def cell_of(df: DataFrame, spec: LedgerSpec, canon: str) -> Cell:
+    header = spec.columns[canon]
+    src = F.col(f"`{header}`") if header in df.columns else F.lit(None).cast("string")
+    return read_cell(src, spec.types.get(canon, "string"), spec.date_formats, canon in spec.whole or (
+        canon in spec.mandatory and spec.types.get(canon) == "key"))
 
 
 def spec_rules(df: DataFrame, spec: LedgerSpec) -> list[Rule]:
-    """Q12 rules of a spec evaluated on the landed text columns: present, and a number where its type is one."""
+    """Q12 rules of a spec evaluated on the landed text columns.  Mandatory cells have to be present and readable
+    (``invalid:<column>``); any other number, date or whole number may be blank but has to be readable
+    (``unreadable:<column>``), unless the column is lenient."""
     rules = []
-    for c in spec.mandatory:
-        header, t = spec.columns[c], spec.types.get(c, "string")
-        v = F.trim(F.col(f"`{header}`")) if header in df.columns else F.lit(None).cast("string")
-        ok = v.isNotNull() & (v != F.lit(""))
-        if t == "key":
-            ok = ok & v.rlike(r"^[+-]?\d+(\.\d*)?$")
-        elif t in ("bigint", "int") or t.startswith("decimal"):
-            ok = ok & F.regexp_replace(v, ",", ".").try_cast("decimal(38,6)").isNotNull()
-        rules.append(Rule(f"invalid:{c}", ok))
+    for c in spec.columns:
+        cell = cell_of(df, spec, c)
+        if c in spec.mandatory:
+            rules.append(Rule(f"invalid:{c}", ~cell.absent & ~cell.unreadable))
+        elif c not in spec.lenient and (c in spec.whole or spec.types.get(c, "string") not in ("string", "key", "text_key")):
+            rules.append(Rule(f"unreadable:{c}", ~cell.unreadable))
     return rules

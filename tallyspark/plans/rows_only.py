@@ -20,7 +20,7 @@ from ..sources.invoices import invoice_documents, invoices, read_invoice_xml, ta
 from ..sources.ledgers import LEDGER_SPECS, clean_ledger, dispatch_sheets, read_ledger, route_bank_sheet
 from ..sources.sinks import append, create_catalog, write_json_rows, write_report
 from ..streaming.incremental import ingest_files
-from .bridge import Model
+from .bridge import LINE_ORDER, Model
 from .catalog import AS_OF, finalize
 from .ingested import ingest
 from .reports import reconciliation_listing
@@ -57,7 +57,7 @@ def _dec_comma(c):
     return F.regexp_replace(c.cast("decimal(20,5)").cast("string"), r"\.", ",")
 
 
-ROWS_A_FILE = 10_000  #: of a landed sheet file, about
+ORDERS_A_FILE = 2_500  #: order keys whose rows a landed sheet file holds
 
 
 def _text(cols: dict, headers) -> list:
@@ -90,28 +90,28 @@ def _ledger_values(kind: str) -> dict:
     return {spec.columns[c]: v for c, v in cells.items() if c in spec.columns}
 
 
-def ledger_sheet(m: Model, kind: str = "bhc_fbl3n", flag: str = "R") -> DataFrame:
-    """Sheet rows from lineitem as text, dealt over as many files as they need, each with the kind's trailing total
-    rows (no document number) behind gaps in the numbering."""
+def ledger_sheet(m: Model, kind: str = "bhc_fbl3n", flag: str = "R", cells: dict | None = None) -> DataFrame:
+    """Sheet rows from lineitem as text, dealt over files by order key, each with the kind's trailing total rows (no
+    document number).  ``chunk`` and ``_row`` say where a row stands; the sheet itself has no such column."""
     spec = LEDGER_SPECS[kind]
     li = m.table("lineitem").where(F.col("l_returnflag") == flag)
-    files = max(2, li.count() // ROWS_A_FILE)
-    rows = li.select(F.pmod(F.xxhash64("l_orderkey"), F.lit(files)).alias("chunk"),
-                     (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("line_no"),
-                     *_text(_ledger_values(kind), spec.headers))
+    rows = li.select(F.lpad(F.floor(F.col("l_orderkey") / ORDERS_A_FILE).cast("string"), 8, "0").alias("chunk"),
+                     F.struct(F.lit(False).alias("total"), "l_orderkey", *LINE_ORDER).alias("_row"),
+                     *_text({**_ledger_values(kind), **(cells or {})}, spec.headers))
     if not spec.trailing_rows:
         return rows
     amount = spec.columns["amount_in_local_currency"]
-    total = F.regexp_replace(F.sum(F.regexp_replace(f"`{amount}`", ",", ".").cast("decimal(20,2)")).cast("string"), r"\.", ",")
-    totals = rows.groupBy("chunk").agg(F.max(F.col("line_no").cast("bigint")).alias("_last"), total.alias("_total"))
-    totals = totals.select("chunk", "_total", F.explode(F.sequence(F.lit(1), F.lit(spec.trailing_rows))).alias("_i"), "_last") \
-        .select("chunk", (F.col("_last") + 7 * F.col("_i") * F.col("_i")).cast("string").alias("line_no"),
-                *_text({amount: F.col("_total")}, spec.headers))
+    total = F.regexp_replace(F.sum(F.regexp_replace(f"`{amount}`", ",", ".").try_cast("decimal(20,2)")).cast("string"), r"\.", ",")
+    totals = rows.groupBy("chunk").agg(F.max("_row").alias("_last"), total.alias("_total"))
+    totals = totals.select("chunk", "_total", F.col("_last").withField("total", F.lit(True)).alias("_row"),
+                           F.explode(F.sequence(F.lit(1), F.lit(spec.trailing_rows)))) \
+        .select("chunk", "_row", *_text({amount: F.col("_total")}, spec.headers))
     return rows.unionByName(totals)
 
 
 def land_sheet(sheet: DataFrame, path: str) -> str:
-    sheet.repartition("chunk").write.partitionBy("chunk").option("header", True).mode("overwrite").csv(path)
+    (sheet.repartition("chunk").sortWithinPartitions("chunk", "_row").drop("_row")
+     .write.partitionBy("chunk").option("header", True).mode("overwrite").csv(path))
     return path
 
 
@@ -228,7 +228,7 @@ def _s7(m):
 
 # --------------------------------------------------------------- cleaning
 def _cleaned(m, kind):
-    return clean_ledger(read_ledger(m.spark, land_ledger(m, kind), kind), kind)
+    return clean_ledger(read_ledger(m.spark, land_ledger(m, kind), kind, file_order="name"), kind)
 
 
 def _trimmed(m, kind):
@@ -259,20 +259,51 @@ def _q11(m):
 
 @q("q11_partition")
 def _q11p(m):
-    """Each landed row is good, rejected or trimmed, once."""
+    """Each landed row is good, rejected or trimmed, once; by counts and sums of their numbers in their files."""
     parts = None
     for kind in ("bhc_fbl3n", "bhc_fbl5n"):
         good, bad = _cleaned(m, kind)
         reason = F.when(F.col("reject_reason") == "trailing_row", "trimmed").otherwise("rejected")
         part = good.select("line_no", F.lit("good").alias("part")).unionByName(bad.select("line_no", reason.alias("part")))
-        part = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"),
-                                        F.sum(F.when(F.col("part") != "trimmed", F.col("line_no").cast("bigint"))).alias("lines"))
-        part = part.withColumn("n", F.when(F.col("part") == "trimmed", (F.col("n") > 0).cast("bigint")).otherwise(F.col("n")))
+        part = part.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("line_no").alias("lines"))
         part = part.select(F.lit(kind).alias("kind"), "part", "n", "lines")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
+def unreadable_cells(kind: str) -> dict:
+    """Texts that are no numbers or dates, each in its own share of the rows: the rate where the part is a multiple of
+    5, the local amount of 7, the withholding of 9, the posting date of 11; blank amounts where it is one of 13."""
+    spec, p = LEDGER_SPECS[kind], F.col("l_partkey")
+    cells = {"eff_exchange_rate": F.when(p % 5 == 0, "abc").otherwise(_dec_comma(F.col("l_discount"))),
+             "amount_in_local_currency": F.when(p % 7 == 0, "12,3,4").when(p % 13 != 0, _dec_comma(F.col("l_extendedprice"))),
+             "posting_date": F.when(p % 11 == 0, "31/31/2024").otherwise(F.date_format("l_shipdate", "dd/MM/yyyy")),
+             "fiscal_year": F.lit("2024"), "document_number": F.col("l_orderkey").cast("string"),
+             "account": F.col("l_suppkey").cast("string"), "gl_account": F.col("l_suppkey").cast("string"),
+             "item": F.col("l_linenumber").cast("string")}
+    for c in ("withholding_tax_amnt", "withholding_amount"):
+        cells[c] = F.when(p % 9 == 0, "n/a").otherwise("1,5")
+    return {spec.columns[c]: v for c, v in cells.items() if c in spec.columns}
+
+
+@q("q12_unreadable_numbers")
+def _q12(m):
+    """Good rows and rejects of all six kinds, by reason."""
+    parts = None
+    for kind in LEDGER_SPECS:
+        path = land_sheet(ledger_sheet(m, kind, "R", unreadable_cells(kind)), scratch_path(m.spark, "landing-ledger"))
+        good, bad = clean_ledger(read_ledger(m.spark, path, kind, file_order="name"), kind)
+        good = good.groupBy().agg(F.lit("").alias("reason"), F.count(F.lit(1)).alias("n"),
+                                  F.sum(F.col("amount_in_local_currency").cast("decimal(20,2)")).alias("amount"),
+                                  F.count("eff_exchange_rate").alias("rates"), F.sum("line_no").alias("lines"))
+        bad = bad.where("reject_reason <> 'trailing_row'").groupBy(F.col("reject_reason").alias("reason")).agg(
+            F.count(F.lit(1)).alias("n"), F.lit(None).cast("decimal(30,2)").alias("amount"),
+            F.lit(None).cast("bigint").alias("rates"), F.sum("line_no").alias("lines"))
+        part = good.unionByName(bad).select(F.lit(kind).alias("kind"), "*")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 @q("q13_new_files_only")
 def _q13(m):
     """The files of even orders are registered already; all files are offered again."""
@@ -328,7 +359,8 @@ def _e2e(m):
     missing = [F.lit(None).cast("string").alias(c) for c in ("payment_method", "addref", "payer", "posting_text")]
     banks = scratch_path(m.spark, "landing-bank")
     bank_documents(m.bank.select("*", *missing)).write.mode("overwrite").text(banks)
-    tables = ingest(m.spark, land_invoices(m), root, banks, LOAD_DATE, one_document_per_file=False)
+    tables = ingest(m.spark, land_invoices(m), root, banks, LOAD_DATE, one_document_per_file=False,
+                    file_order="name")
     return reconciliation_listing(tables, InvoiceFilter(), AS_OF).select(
         "receipt_number", "client_name", "total_amount", "account", "clearing_payment_policy", "provision_policy_document",
         "t_c_dof", "invoice_reference", "amount_in_doc_curr_ieps", "amount_in_doc_curr_iva_traladado", "entity",
@@ -453,19 +485,41 @@ def _oracle():
         "SELECT s_suppkey, lower(substr(n_name, 1, 2)) || '-' || lower(substr(r_name, 1, 3)) || ' ' || "
         "(['PBC', 'N8P', 'XYZ'])[(s_suppkey % 3) + 1] AS sheet FROM supplier JOIN nation ON s_nationkey = n_nationkey "
         "JOIN region ON n_regionkey = r_regionkey))")
+    numbered = (f"SELECT *, row_number() OVER (PARTITION BY l_orderkey // 2500 ORDER BY l_orderkey, {LEDGER_ORD}) AS line_no "
+                "FROM lineitem WHERE l_returnflag = 'R'")
     O["q4_drop_trailing_rows"] = fin("reference:s line_no:i",
-        "(SELECT CAST(l_orderkey AS VARCHAR) AS reference, l_orderkey * 10 + l_linenumber AS line_no "
-        "FROM lineitem WHERE l_returnflag = 'R')")
+        f"(SELECT CAST(l_orderkey AS VARCHAR) AS reference, line_no FROM ({numbered}))")
     O["q4_drop_three_rows"] = O["q4_drop_trailing_rows"]
     O["q11_split_rejects"] = fin("document_text:s position:s reject_reason:s",
         "(SELECT CASE WHEN l_partkey <> 11 THEN CAST(l_orderkey AS VARCHAR) || '.0' END AS document_text, "
         "CAST(l_linenumber AS VARCHAR) AS position, concat_ws(';', CASE WHEN l_partkey = 11 THEN 'invalid:document_number' END, "
         "CASE WHEN l_suppkey = 7 THEN 'invalid:gl_account' END) AS reject_reason FROM lineitem "
         "WHERE l_returnflag = 'R' AND (l_suppkey = 7 OR l_partkey = 11))")
-    O["q11_partition"] = fin("kind:s part:s n:i lines:i",
-        "(SELECT kind, part, n, lines FROM (SELECT CASE WHEN l_suppkey = 7 OR l_partkey = 11 THEN 'rejected' ELSE 'good' END AS part, "
-        "count(*) AS n, SUM(l_orderkey * 10 + l_linenumber) AS lines FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 "
-        "UNION ALL SELECT 'trimmed', 1, NULL), (VALUES ('bhc_fbl3n'), ('bhc_fbl5n')) AS k(kind))")
+    parts = " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, part, count(*) AS n, SUM(line_no) AS lines FROM (SELECT CASE WHEN l_suppkey = 7 OR "
+        f"l_partkey = 11 THEN 'rejected' ELSE 'good' END AS part, line_no FROM ({numbered}) UNION ALL "
+        f"SELECT 'trimmed', f.n + i FROM (SELECT count(*) AS n FROM ({numbered}) GROUP BY l_orderkey // 2500) f, "
+        f"(SELECT unnest(range(1, {trim + 1})) AS i)) GROUP BY ALL" for kind, trim in (("bhc_fbl3n", 1), ("bhc_fbl5n", 3)))
+    O["q11_partition"] = fin("kind:s part:s n:i lines:i", f"({parts})")
+    parts = []
+    for kind, mandatory_rate, lenient_rate, withholding in (
+            ("bcs_fbl3n", True, False, "withholding_tax_amnt"), ("bhc_fbl3n", False, True, "withholding_tax_amnt"),
+            ("bcs_fbl5n", False, False, None), ("bhc_fbl5n", False, False, "withholding_amount"),
+            ("bank_pbc", False, True, "withholding_tax_amnt"), ("bank_n8p", False, True, "withholding_tax_amnt")):
+        bad = {"posting_date": 11, "amount_in_local_currency": 7}
+        if not lenient_rate:
+            bad["eff_exchange_rate"] = 5
+        if withholding:
+            bad[withholding] = 9
+        places = {c: i for i, c in enumerate(LEDGER_SPECS[kind].columns)}
+        why = ", ".join(f"CASE WHEN l_partkey % {bad[c]} = 0 THEN '{'invalid' if mandatory_rate and c == 'eff_exchange_rate' else 'unreadable'}:{c}' END"
+                        for c in sorted(bad, key=places.get))
+        rate = "CASE WHEN l_partkey % 5 <> 0 THEN 1 END"
+        parts.append(
+            f"SELECT '{kind}' AS kind, reason, count(*) AS n, CASE WHEN reason = '' THEN SUM(CASE WHEN l_partkey % 13 <> 0 "
+            f"THEN CAST(l_extendedprice AS DECIMAL(20,2)) END) END AS amount, CASE WHEN reason = '' THEN count({rate}) END AS rates, "
+            f"SUM(line_no) AS lines FROM (SELECT *, concat_ws(';', {why}) AS reason FROM ({numbered})) GROUP BY reason")
+    O["q12_unreadable_numbers"] = fin("kind:s reason:s n:i amount:d rates:i lines:i", "(" + " UNION ALL ".join(parts) + ")")
     O["q5_drop_markers"] = fin(
         "business_area:s document_number:s account:s fiscal_year:s amount_in_local_currency:d posting_date:D text:s",
         "(SELECT 'BA-' || event_type AS business_area, CAST(event_id AS VARCHAR) AS document_number, "
@@ -496,7 +550,7 @@ def _oracle():
 
 def _e2e_sql() -> str:
     """V5 over tables in the shape that the ingest gives them; the rules of the sheets' kinds as conditions."""
-    from .oracle import BASE, fin, first_rows, listing_cte, match_ctes, view_ctes
+    from .oracle import BASE, LEDGER_ORD, fin, first_rows, listing_cte, match_ctes, view_ctes
     from .oracle import build as _build
 
     def rows(flag, kept):
@@ -505,8 +559,9 @@ def _e2e_sql() -> str:
             CASE WHEN l_partkey <> 11 THEN CAST(l_orderkey AS VARCHAR) END AS document_number,
             CAST(l_discount AS DECIMAL(20,5)) AS eff_exchange_rate, CAST(l_linenumber AS VARCHAR) AS invoice_reference,
             CAST(l_extendedprice AS DECIMAL(20,2)) AS amount_in_local_currency,
-            CAST(l_extendedprice AS DECIMAL(20,2)) AS amount_in_doc_curr, l_orderkey * 10 + l_linenumber AS ingest_seq
-          FROM lineitem WHERE l_returnflag = '{flag}' AND {kept}""")
+            CAST(l_extendedprice AS DECIMAL(20,2)) AS amount_in_doc_curr, ingest_seq
+          FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, {LEDGER_ORD}) AS ingest_seq FROM lineitem
+                WHERE l_returnflag = '{flag}') WHERE {kept}""")
 
     ledger = "ingest_seq, clearing_document, amount_in_local_currency, eff_exchange_rate, account NULLS FIRST"
     aux = "ingest_seq, reference, amount_in_doc_curr"
