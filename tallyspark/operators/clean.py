@@ -169,10 +169,12 @@ def canonicalise(df: DataFrame, spec: LedgerSpec) -> DataFrame:
 
 
 def typed_cells(df: DataFrame, spec: LedgerSpec, prefix: str = "") -> list[Column]:
-    out = []
+    out, headers = [], set(df.columns)
     for canon in spec.columns:
-        value = cell_of(df, spec, canon).value
-        out.append((F.coalesce(value, F.lit(spec.defaults[canon])) if canon in spec.defaults else value).alias(prefix + canon))
+        value = cell_of(headers, spec, canon).value
+        if canon in spec.defaults:
+            value = f"coalesce({value}, {spec.defaults[canon]!r})"
+        out.append(F.expr(value).alias(prefix + canon))
     return out
 
 
@@ -187,29 +189,28 @@ def lineage(df: DataFrame) -> list[Column]:
 def type_and_split(df: DataFrame, spec: LedgerSpec) -> tuple[DataFrame, DataFrame]:
     """Q10-Q12: (typed good rows, rejected rows as landed with ``reject_reason``).  Every cell is parsed once, in one
     projection; the row number in it keeps the optimizer from copying the parsing into the filters."""
-    reasons = [F.when(~F.coalesce(r.ok, F.lit(False)), F.lit(r.name)) for r in spec_rules(df, spec)]
+    reasons = [F.when(~r.ok, F.lit(r.name)) for r in spec_rules(df, spec)]  # a rule is never NULL
     tagged = df.select("*", *typed_cells(df, spec, "_typed_"), F.concat_ws(";", *reasons).alias("reject_reason"),
                        F.monotonically_increasing_id().alias("_parsed"))
     good = tagged.where("reject_reason = ''").select(*[F.col(f"_typed_{c}").alias(c) for c in spec.columns], *lineage(df))
     return good, tagged.where("reject_reason <> ''").select(*[F.col(f"`{c}`") for c in df.columns], "reject_reason")
 
 
-def cell_of(df: DataFrame, spec: LedgerSpec, canon: str) -> Cell:
-    header = spec.columns[canon]
-    src = F.col(f"`{header}`") if header in df.columns else F.lit(None).cast("string")
-    return read_cell(src, spec.types.get(canon, "string"), spec.date_formats, canon in spec.whole or (
-        canon in spec.mandatory and spec.types.get(canon) == "key"))
+def cell_of(headers: set[str], spec: LedgerSpec, canon: str) -> Cell:
+    header, type_name = spec.columns[canon], spec.types.get(canon, "string")
+    return read_cell(f"`{header}`" if header in headers else "CAST(NULL AS STRING)", type_name, spec.date_formats,
+                     canon in spec.whole or (canon in spec.mandatory and type_name == "key"))
 
 
 def spec_rules(df: DataFrame, spec: LedgerSpec) -> list[Rule]:
     """Q12 rules of a spec evaluated on the landed text columns.  Mandatory cells have to be present and readable
     (``invalid:<column>``); any other number, date or whole number may be blank but has to be readable
     (``unreadable:<column>``), unless the column is lenient."""
-    rules = []
+    rules, headers = [], set(df.columns)
     for c in spec.columns:
-        cell = cell_of(df, spec, c)
+        cell = cell_of(headers, spec, c)
         if c in spec.mandatory:
-            rules.append(Rule(f"invalid:{c}", ~cell.absent & ~cell.unreadable))
+            rules.append(Rule(f"invalid:{c}", F.expr(f"NOT ({cell.absent}) AND NOT {cell.unreadable}")))
         elif c not in spec.lenient and (c in spec.whole or spec.types.get(c, "string") not in ("string", "key", "text_key")):
-            rules.append(Rule(f"unreadable:{c}", ~cell.unreadable))
+            rules.append(Rule(f"unreadable:{c}", F.expr(f"NOT {cell.unreadable}")))
     return rules
