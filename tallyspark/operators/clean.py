@@ -168,13 +168,13 @@ def canonicalise(df: DataFrame, spec: LedgerSpec) -> DataFrame:
     return df.select(*typed_cells(df, spec), *lineage(df))
 
 
-def typed_cells(df: DataFrame, spec: LedgerSpec, prefix: str = "") -> list[Column]:
+def typed_cells(df: DataFrame, spec: LedgerSpec) -> list[Column]:
     out, headers = [], set(df.columns)
     for canon in spec.columns:
         value = cell_of(headers, spec, canon).value
         if canon in spec.defaults:
             value = f"coalesce({value}, {spec.defaults[canon]!r})"
-        out.append(F.expr(value).alias(prefix + canon))
+        out.append(F.expr(value).alias(canon))
     return out
 
 
@@ -187,13 +187,15 @@ def lineage(df: DataFrame) -> list[Column]:
 
 
 def type_and_split(df: DataFrame, spec: LedgerSpec) -> tuple[DataFrame, DataFrame]:
-    """Q10-Q12: (typed good rows, rejected rows as landed with ``reject_reason``).  Every cell is parsed once, in one
-    projection; the row number in it keeps the optimizer from copying the parsing into the filters."""
+    """Q10-Q12: (typed good rows, rejected rows as landed with ``reject_reason``).  Every cell is parsed once, into one
+    struct; the row number that the filters ask for too keeps the optimizer from copying the parsing into them."""
     reasons = [F.when(~r.ok, F.lit(r.name)) for r in spec_rules(df, spec)]  # a rule is never NULL
-    tagged = df.select("*", *typed_cells(df, spec, "_typed_"), F.concat_ws(";", *reasons).alias("reject_reason"),
-                       F.monotonically_increasing_id().alias("_parsed"))
-    good = tagged.where("reject_reason = ''").select(*[F.col(f"_typed_{c}").alias(c) for c in spec.columns], *lineage(df))
-    return good, tagged.where("reject_reason <> ''").select(*[F.col(f"`{c}`") for c in df.columns], "reject_reason")
+    cells = F.struct(*typed_cells(df, spec), F.concat_ws(";", *reasons).alias("reject_reason"))
+    tagged = df.select("*", cells.alias("_cells"), F.monotonically_increasing_id().alias("_parsed"))
+    good = tagged.where("_cells.reject_reason = '' AND _parsed >= 0").select(
+        *[F.col(f"_cells.{c}") for c in spec.columns], *lineage(df))
+    return good, tagged.where("_cells.reject_reason <> '' AND _parsed >= 0").select(
+        *[F.col(f"`{c}`") for c in df.columns], "_cells.reject_reason")
 
 
 def cell_of(headers: set[str], spec: LedgerSpec, canon: str) -> Cell:
