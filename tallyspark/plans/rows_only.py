@@ -19,7 +19,7 @@ from ..sources.bank import bank_documents, bank_rows, file_stem, parse_extracts,
 from ..sources.invoices import invoice_documents, invoices, read_invoice_xml, tax_lines, write_invoice_xml
 from ..sources.ledgers import LEDGER_SPECS, clean_ledger, dispatch_sheets, read_ledger, route_bank_sheet
 from ..sources.sinks import append, create_catalog, write_json_rows, write_report
-from ..streaming.incremental import ingest_files
+from ..streaming.incremental import REJECTS, committed, ingest_files, ingest_invoices
 from .bridge import LINE_ORDER, Model
 from .catalog import AS_OF, finalize
 from .ingested import ingest
@@ -415,10 +415,30 @@ def _t1(m):
         # the last run replays all files with a new checkpoint on another day
         ingest_files(spark, landing, "text", "value string", target, checkpoint,
                      lambda batch, day=day: bank_rows(parse_extracts(batch), load_date=day))
-    return spark.read.parquet(target).select("bank_name", "book_date", "value_date", "posting_amount",
+    return committed(spark, target).select("bank_name", "book_date", "value_date", "posting_amount",
                                              "payment_method", "ref", "comment", "client_name")
 
 
+@q("t1_streaming_invoices")
+def _t1i(m):
+    """Invoice XML in two landings and three runs, the last with a new checkpoint; every seventh document has no folio,
+    every eleventh no stamp."""
+    spark, landing = m.spark, scratch_path(m.spark, "landing-invoices")
+    target, ckpt = scratch_path(spark, "invoice-table"), scratch_path(spark, "invoice-stream-ckpt")
+    for half, checkpoint in ((0, ckpt), (1, ckpt), (None, scratch_path(spark, "invoice-stream-ckpt"))):
+        if half is not None:
+            docs = invoice_documents(m.table("orders").where(F.col("o_orderkey") % 2 == half), m.table("customer"), m.table("lineitem"))
+            key = F.col("_Folio").cast("bigint")
+            docs = docs.withColumns({"Complemento": F.when(key % 11 != 0, F.col("Complemento")),
+                                     "_Folio": F.when(key % 7 != 0, F.col("_Folio"))})
+            write_invoice_xml(docs, f"{landing}/half={half}")
+        ingest_invoices(spark, landing, target, checkpoint, LOAD_DATE)
+    rows, bad = committed(spark, target), committed(spark, target, REJECTS)
+    return rows.select("fiscal_uuid", "receipt_number", "total_amount", F.lit("").alias("reject_reason")).unionByName(
+        bad.select("fiscal_uuid", F.col("folio").alias("receipt_number"), F.lit(None).cast("decimal(20,2)").alias("total_amount"),
+                   "reject_reason"))
+
+
 # ------------------------------------------------------------------ oracles
 def _oracle():
     from .oracle import CTES, LEDGER_ORD, TOTALS, fin, fp
@@ -454,6 +474,13 @@ def _oracle():
                  "client_name:s")
     O["s4_read_bank_extract"] = b(["bank_ev"], fin(bank_spec, bank_sql))
     O["t1_incremental_ingest"] = O["s4_read_bank_extract"]
+    bad = "o_orderkey % 7 = 0 OR o_orderkey % 11 = 0"
+    O["t1_streaming_invoices"] = fin("fiscal_uuid:s receipt_number:s total_amount:d reject_reason:s",
+        f"(SELECT CASE WHEN o_orderkey % 11 <> 0 THEN 'UUID-' || CAST(o_orderkey AS VARCHAR) END AS fiscal_uuid, "
+        f"CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS receipt_number, "
+        f"CASE WHEN NOT ({bad}) THEN CAST(o_totalprice AS DECIMAL(20,2)) END AS total_amount, concat_ws(';', "
+        f"CASE WHEN o_orderkey % 7 = 0 THEN 'missing:Folio' END, CASE WHEN o_orderkey % 11 = 0 THEN 'missing:UUID' END) "
+        f"AS reject_reason FROM orders JOIN customer ON o_custkey = c_custkey)")
     dc = "CAST(CAST(l_extendedprice AS DECIMAL(20,5)) AS DECIMAL(20,2))"
 
     def ledger(flag, where, more, gl="CAST(l_suppkey AS VARCHAR)", document="CAST(l_orderkey AS VARCHAR)"):
