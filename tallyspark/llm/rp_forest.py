@@ -29,13 +29,13 @@ class Settings:
     """``sample``: most vectors that the planes are fitted on.  ``leaves``: that a tree aims at.  ``search``: rows,
     with repetition in several trees, that a query's leaves expect, as a share of all rows.  Vectors without any
     clusters need the large share given here, which meets four fifths of all rows, for a recall above 0.9; a tenth
-    of it, with more leaves, does for clustered ones.  ``least``: candidates expected at least, times k; fewer rows
-    are searched whole.  ``block``: most rows of a leaf that one task compares at a time."""
+    of it, with more leaves, does for clustered ones.  ``least``: candidates expected at least, times k, so that k are
+    found wherever there are as many (it counts below ``trees * least * k / search`` rows, 171 for k = 20).  ``block``: most rows of a leaf that one task compares at a time."""
 
     trees: int = 6
     leaves: int = 32
     search: float = 1.4
-    least: int = 50
+    least: int = 2
     sample: int = 20_000
     block: int = 8192
     seed: int = 11
