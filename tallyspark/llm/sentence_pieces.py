@@ -35,6 +35,13 @@ KEPT, KEPT_LENGTH = 300_000, 64
 SHORT, TABLE, NONE = 24, 4096, (1 << 31) - 1
 
 
+PACKED = np.dtype("<u4")
+
+
+def pack(ids) -> bytes:
+    return np.asarray(ids, PACKED).tobytes()
+
+
 @dataclass
 class Pieces:
     """``rank``: the place of a piece's score, the best first (equal scores share one); ``ids``: of pieces."""
@@ -54,7 +61,7 @@ class Pieces:
     pairs: np.ndarray  #: two pieces that make one (left << 32 | right), sorted
     ranks: np.ndarray  #: its rank
     made: np.ndarray  #: its id
-    known: dict[str, list[int]] = field(default_factory=dict)
+    known: dict[str, bytes] = field(default_factory=dict)  #: packed ids of parts
 
     @staticmethod
     def load(model: bytes) -> Pieces:
@@ -98,8 +105,8 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return at, np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], NONE)
 
-    def short_ids(self, parts: list[str]) -> list[list[int]]:
-        """Ids of short parts of known characters, in rounds over a table of their symbols and agendas."""
+    def short_ids(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of short parts of known characters, in rounds over a table of their symbols and agendas."""
         sizes = np.array([len(p) for p in parts])
         sym = np.full((len(parts), int(sizes.max())), -1, np.int32)
         sym[np.arange(sym.shape[1]) < sizes[:, None]] = self.symbols("".join(parts))
@@ -124,7 +131,7 @@ class Pieces:
             agenda[inner, i[inner] - 1] = self.find(sym[inner, i[inner] - 1], new[inner])[1]
             agenda[outer, i[outer]] = self.find(new[outer], sym[outer, i[outer] + 1])[1]
         out[row, :sym.shape[1]] = sym
-        ends, ids = np.cumsum((out >= 0).sum(axis=1)).tolist(), out[out >= 0].tolist()
+        ends, ids = np.cumsum(4 * (out >= 0).sum(axis=1)).tolist(), pack(out[out >= 0])
         return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def symbols(self, text: str) -> np.ndarray:
@@ -175,6 +182,10 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of normalized texts, without begin and end."""
+        return [np.frombuffer(ids, PACKED).tolist() for ids in self.packed(texts)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Their little-endian unsigned 32-bit form."""
         cut = [self.parts(t) for t in texts]
         if self.frozen:
             around = re.compile("(" + "|".join(map(re.escape, self.frozen)) + ")")
@@ -183,21 +194,21 @@ class Pieces:
         if len(self.known) > KEPT:
             self.known = {}
         known = self.known
-        known.update((p, [self.ids[p]]) for p in self.frozen)
+        known.update((p, pack([self.ids[p]])) for p in self.frozen)
         new = sorted(set().union(*cut).difference(known), key=len)
         known.update(self.learn(new))
-        out = [[i for part in parts for i in known[part]] for parts in cut]
+        out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
         for part in reversed(new):  # the longest are at the end
             if len(part) <= KEPT_LENGTH:
                 break
             del known[part]
         if self.byte_ids is None:  # neighbouring unknown symbols are one
-            out = [[i for i, last in zip(ids, [None, *ids], strict=False) if i != self.unknown or last != self.unknown]
-                   for ids in out]
+            flat = [np.frombuffer(ids, PACKED) for ids in out]
+            out = [pack(i[(i != self.unknown) | (np.concatenate([[-1], i[:-1]]) != self.unknown)]) if len(i) else b"" for i in flat]
         return out
 
-    def learn(self, parts: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Ids of different parts, the shortest first."""
+    def learn(self, parts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Packed ids of different parts, the shortest first."""
         at = 0
         while at < len(parts):
             some = [p for p in parts[at:at + TABLE] if 0 < len(p) <= SHORT]
@@ -207,7 +218,7 @@ class Pieces:
                 some = [p for p, s in zip(some, strange.tolist(), strict=True) if not s]
             yield from zip(some, self.short_ids(some) if some else [], strict=True)
             rest = set(some)
-            yield from ((p, self.part_ids(p)) for p in parts[at:at + TABLE] if p not in rest)
+            yield from ((p, pack(self.part_ids(p))) for p in parts[at:at + TABLE] if p not in rest)
             at += TABLE
 
     def decode(self, ids: list[int]) -> str:
@@ -257,15 +268,16 @@ def sentence_pieces(text: Column, model: bytes, begin: bool = True, end: bool =
         if not holder:
             holder.extend([Pieces.load(model), sentencepiece.SentencePieceProcessor(model_proto=model)])
         pieces, library = holder
-        head, tail = [pieces.begin] * begin, [pieces.end] * end
+        head, tail = pack([pieces.begin] * begin), pack([pieces.end] * end)
         for batch in batches:
             packs, decoded, agrees = [], [], []
             for block in _blocks([t or "" for t in batch.to_pylist()]):
-                mine = [[*head, *ids, *tail] for ids in pieces.encode(library.normalize(block))]
+                own = [head + ids + tail for ids in pieces.packed(library.normalize(block))]
+                mine = [np.frombuffer(ids, PACKED).tolist() for ids in own]
                 back = [pieces.decode(i) for i in mine]
                 theirs = library.encode(block, add_bos=begin, add_eos=end, num_threads=1)
                 again = library.decode(theirs)
-                packs += [np.array(i, np.dtype("<u4")).tobytes() for i in mine] if packed else mine
+                packs += own if packed else mine
                 decoded += back
                 agrees += [a == b and c == d for a, b, c, d in zip(mine, theirs, back, again, strict=True)]
             yield pa.StructArray.from_arrays(
