@@ -30,7 +30,7 @@ SPACE = "▁"
 #: Piece kinds of the model's format.
 UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 3, 4, 5, 6
 #: Parts whose ids a task keeps, and the longest that are kept.
-KEPT, KEPT_LENGTH = 300_000, 64
+KEPT, KEPT_LENGTH = 450_000, 64
 #: Parts up to this length share a table of agendas, so many at a time; NONE: a pair that is no piece.
 SHORT, TABLE, NONE = 24, 4096, (1 << 31) - 1
 
