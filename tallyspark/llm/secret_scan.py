@@ -59,24 +59,60 @@ class Battery:
     bins_per_decade: int = 20
 
 
+def _bind(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, op) -> Column:
+    """For each element of an array of numbers ``op`` (a sum or a maximum) over it and all before it, by doubling
+    steps: n log n work, where appending to an array would take n squared."""
+    def doubled(acc: Column, k: Column) -> Column:
+        back = F.least(F.call_function("shiftleft", F.lit(1), k), F.size(acc))
+        before = F.concat(F.transform(F.slice(acc, F.lit(1), back), lambda _: F.lit(None)),
+                          F.slice(acc, F.lit(1), F.size(acc) - back))
+        return F.zip_with(acc, before, lambda x, y: F.when(y.isNull(), x).otherwise(op(x, y)))
+
+    return _bind(values, lambda v: F.when(F.size(v) < 2, v).otherwise(F.aggregate(
+        F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int")), v, doubled)))
+
+
 def _rows(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (start, end, size of the group), by code points, of the leftmost non-overlapping matches."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), F.arrays_zip(matches.alias("m"), groups.alias("g")),
-                       lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["m"]).alias("size"),
-                                               F.length(m["g"]).alias("group")))
-    none = F.array().cast("array<struct<start:int,end:int,group:int>>")
-    spans = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["size"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"]).alias("start"),
-                                                  (acc["at"] + s["gap"] + s["size"]).alias("end"),
-                                                  s["group"].alias("group")))).alias("out")),
-        lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    """Array of (start, end, match, size of the group), by code points, of the leftmost non-overlapping matches."""
+    def spans(matches: Column) -> Column:
+        groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+        steps = F.zip_with(
+            F.slice(F.split(text, pattern, -1), 1, F.size(matches)), F.arrays_zip(matches.alias("m"), groups.alias("g")),
+            lambda gap, m: F.struct((F.length(gap) + F.length(m["m"])).alias("step"), m["m"].alias("match"),
+                                    F.length(m["g"]).alias("group")))
+        return _bind(steps, lambda rows: F.zip_with(
+            rows, _running(F.transform(rows, lambda r: r["step"]), lambda x, y: x + y),
+            lambda r, end: F.struct((end - F.length(r["match"])).alias("start"), end.alias("end"),
+                                    r["match"].alias("match"), r["group"].alias("group"))))
+
+    none = F.array().cast("array<struct<start:int,end:int,match:string,group:int>>")
+    return F.when(text.rlike(pattern), _bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)).otherwise(none)
+
+
+def _apart(rows: Column, base: Column) -> Column:
+    """The rows (sorted, not overlapping) that meet no span of ``base``: as many spans start before the row's end as
+    end by its start.  Both counts come from one sorted list of all edges."""
+    edge = lambda spans, field, rank: F.transform(spans, lambda s: s[field].cast("long") * 4 + rank)
+    edges = F.sort_array(F.concat(edge(base, "end", 0), edge(rows, "start", 1), edge(rows, "end", 2),
+                                  edge(base, "start", 3)))
+    weigh = lambda e: F.when(e % 4 == 3, F.lit(1 << 32)).when(e % 4 == 0, F.lit(1).cast("long")).otherwise(
+        F.lit(0).cast("long"))
+
+    def kept(both: Column) -> Column:
+        counts = lambda rank, f: F.transform(F.filter(both, lambda x: x["e"] % 4 == rank), lambda x: f(x["n"]))
+        ended, begun = counts(1, lambda n: n % (1 << 32)), counts(2, lambda n: F.floor(n / F.lit(float(1 << 32))))
+        meets = F.zip_with(begun, ended, lambda x, y: x > y)
+        marked = F.zip_with(rows, meets, lambda r, m: F.struct(r.alias("r"), m.alias("m")))
+        return F.transform(F.filter(marked, lambda x: ~x["m"]), lambda x: x["r"])
+
+    counted = _bind(edges, lambda es: F.zip_with(
+        es, _running(F.transform(es, weigh), lambda x, y: x + y), lambda e, n: F.struct(e.alias("e"), n.alias("n"))))
+    return F.when((F.size(base) == 0) | (F.size(rows) == 0), rows).otherwise(_bind(counted, kept))
 
 
 def _kind(rows: Column, rank: int) -> Column:
@@ -87,7 +123,7 @@ def _kind(rows: Column, rank: int) -> Column:
 def base_spans(text: Column) -> Column:
     """Sorted array of (start, rank of the kind, end) of the known patterns."""
     assign = F.filter(_rows(text, ASSIGN, 1), lambda r: r["group"] >= 6)
-    return F.array_sort(F.concat(_kind(assign, 0), _kind(_rows(text, ACCESS), 1), _kind(_rows(text, HEX), 2)))
+    return F.sort_array(F.concat(_kind(assign, 0), _kind(_rows(text, ACCESS), 1), _kind(_rows(text, HEX), 2)))
 
 
 def upper_tail(z: Column) -> Column:
@@ -109,25 +145,23 @@ def _pairs(values: Column, f) -> Column:
 def candidates(text: Column, base: Column, b: Battery) -> Column:
     """Array of (start, end, class of the length, bin of the p-value as ordinary text, uniform) of the candidates
     that meet no span of ``base``.  Each step below binds what the next one uses more than once."""
-    found = _rows(text, "[A-Za-z0-9+/_-]{%d,}={0,2}" % b.least)
-    found = F.filter(found, lambda r: ~F.exists(base, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])))
+    found = _bind(_rows(text, "[A-Za-z0-9+/_-]{%d,}={0,2}" % b.least), lambda rows: _apart(rows, base))
     named = F.transform(found, lambda r: F.struct(
-        r["start"].alias("start"), r["end"].alias("end"),
-        F.regexp_replace(F.substring(text, r["start"] + 1, r["end"] - r["start"]), "=+$", "").alias("body")))
+        r["start"].alias("start"), r["end"].alias("end"), F.regexp_replace(r["match"], "=+$", "").alias("body")))
     spelt = F.transform(named, lambda r: F.struct(
         r["start"].alias("start"), r["end"].alias("end"), r["body"].alias("body"),
         F.length(r["body"]).cast("double").alias("n"),
         F.coalesce(*(F.when(r["body"].rlike(p), F.lit(a)) for _, p, a in ENCODINGS), F.lit("")).alias("alphabet")))
     valued = F.transform(spelt, lambda r: F.struct(
         *(r[c].alias(c) for c in ("start", "end", "body", "n")), F.length(r["alphabet"]).cast("double").alias("k"),
-        F.transform(F.sequence(F.lit(1), F.length(r["body"])),
-                    lambda i: F.instr(r["alphabet"], F.substring(r["body"], i, F.lit(1))) - 1).alias("v")))
+        F.array_distinct(F.split(r["body"], "")).alias("letters"),
+        F.transform(F.split(r["body"], ""), lambda x: F.instr(r["alphabet"], x) - 1).alias("v")))
     collapsed = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
         c, "[+/_-]", "."), "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0"), r"(.)\1+", "$1")
     counted = F.transform(valued, lambda r: F.struct(
         *(r[c].alias(c) for c in ("start", "end", "n", "k")),
-        F.aggregate(F.array_distinct(r["v"]), F.lit(0.0), lambda total, x: total + F.pow(
-            F.size(F.filter(r["v"], lambda y: y == x)).cast("double"), F.lit(2.0))).alias("squares"),
+        F.aggregate(r["letters"], F.lit(0.0), lambda total, x: total + F.pow(
+            r["n"] - F.length(F.replace(r["body"], x, F.lit(""))), F.lit(2.0))).alias("squares"),
         F.size(F.filter(r["v"], lambda x: 2 * x >= r["k"])).cast("double").alias("high"),
         _pairs(r["v"], lambda x, y: F.when((2 * x >= r["k"]) != (2 * y >= r["k"]), 1.0).otherwise(0.0)).alias("turns"),
         _pairs(r["v"], lambda x, y: (x - (r["k"] - 1) / 2) * (y - (r["k"] - 1) / 2)).alias("serial"),
@@ -189,7 +223,7 @@ def all_spans(scan: Column, thresholds: list[int]) -> Column:
     """Sorted array of (start, rank of the kind, end) of base spans and accepted candidates."""
     least = F.array(*map(F.lit, thresholds))
     good = F.filter(scan["candidates"], lambda c: c["bin"] >= F.get(least, c["cls"]))
-    return F.array_sort(F.concat(scan["base"], _kind(good, 3)))
+    return F.sort_array(F.concat(scan["base"], _kind(good, 3)))
 
 
 def spans_text(spans: Column) -> Column:
@@ -212,22 +246,41 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        all_spans(F.col("scan"), thresholds).alias("spans"))
 
 
+def _between(text: Column, gaps: Column, block: int = 1024) -> Column:
+    """The stretches ``gaps`` (start, end) of a text.  Blocks of it are cut once, so that a stretch costs its own
+    length and a block, not the way from the text's start."""
+    def piece(blocks: Column, g: Column) -> Column:
+        first = F.floor(g["start"] / block).cast("int")
+        joined = F.array_join(F.slice(blocks, first + 1, F.floor(g["end"] / block).cast("int") - first + 1), "")
+        return F.substring(joined, g["start"] - first * block + 1, g["end"] - g["start"])
+
+    return _bind(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % block), F.lit(0)),
+                 lambda blocks: F.transform(gaps, lambda g: piece(blocks, g)))
+
+
+def _marked(text: Column, spans: Column, mark: str) -> Column:
+    """The text with its spans (sorted) replaced, those that overlap by one mark."""
+    def rest(rows: Column) -> Column:  # a span that starts behind all earlier ones ends the gap before it
+        gaps = F.transform(F.filter(rows, lambda r: r["start"] >= r["at"]),
+                           lambda r: F.struct(r["at"].alias("start"), r["start"].alias("end")))
+        tail = F.array(F.struct(F.greatest(F.element_at(rows, -1)["at"], F.element_at(rows, -1)["end"]).alias("start"),
+                                F.length(text).alias("end")))
+        return F.array_join(_between(text, F.concat(gaps, tail)), mark)
+
+    furthest = F.concat(F.array(F.lit(0)), _running(F.transform(spans, lambda s: s["end"]), F.greatest))
+    rows = F.zip_with(spans, F.slice(furthest, 1, F.size(spans)), lambda s, at: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), at.alias("at")))
+    return _bind(rows, rest)
+
+
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", b: Battery = Battery()) -> DataFrame:
     """``docs`` with every span (overlapping ones as one) of the text replaced by ``mark``.  Null texts stay null.
-    The thresholds come from a first scan over all rows."""
+    All rows are scanned once; the scan is written beside them, and the thresholds come from it."""
     scan = "secret_scan"
-    while scan in docs.columns:
+    while scan in {c.lower() for c in docs.columns}:
         scan += "_"
-    thresholds = fit_thresholds(scanned(docs.select(text_col), text_col, b, scan), b, scan)
+    done = materialize(scanned(docs, text_col, b, scan), docs.sparkSession, "redaction")
+    spans = all_spans(F.col(scan), fit_thresholds(done, b, scan))
     text = F.col(text_col)
-    done = F.aggregate(
-        all_spans(F.col(scan), thresholds), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(
-                acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
-            .otherwise(acc["out"]).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    marked = scanned(docs, text_col, b, scan)
-    return marked.withColumn(text_col, F.when(F.size(all_spans(F.col(scan), thresholds)) > 0, done)
-                             .otherwise(text)).drop(scan)
+    new = _bind(spans, lambda s: F.when(F.size(s) > 0, _marked(text, s, mark)).otherwise(text))
+    return done.withColumn(text_col, F.when(text.isNotNull(), new)).select(*docs.columns)

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,44 @@ def test_one_case_tokens_of_all_lengths(spark):
     assert len(found) == 24 and min(passed.values()) >= 37, passed
     assert all(n >= (30 if k[1] == 64 else 36) for k, n in found.items() if k[1] >= 64), found
     assert not any(spans[i] for i in range(len(rows), len(spans)))
+
+
+def test_very_long_texts(spark):
+    """A run of a megabyte and a list of 100 000 hashes in one text take seconds, with the spans of plain Python."""
+    r = random.Random(3)
+    run = "".join(r.choices(ENCODINGS[5][2], k=1_000_000))
+    hashes = "\n".join(f"{r.getrandbits(128):032x} file{i}" for i in range(100_000))
+    names = " ".join("".join(r.choices(ENCODINGS[4][2], k=30)) + " é" for _ in range(20_000))
+    texts = [f"image {run} end", hashes, names + " password=abcdefg " + names]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    rows = {x.doc_id: x for x in secret_spans(df).collect()}
+    out = {x.doc_id: x.text for x in redacted(df).collect()}
+    assert time.time() - start < 90
+    for i, text in enumerate(texts):
+        assert [(s.start, s.rank, s.end) for s in rows[i].base] == base(text)
+        plain, at = [], 0
+        for a, _, e in rows[i].spans:
+            if a >= at:
+                plain.append(text[at:a])
+            at = max(at, e)
+        assert out[i] == "[SECRET]".join(plain + [text[at:]])
+    assert [(s.start, s.rank, s.end) for s in rows[0].spans] == [(6, 3, 1_000_006)]
+    assert len(rows[1].spans) == 100_000 and len(rows[2].spans) > 20_000
+
+
+def test_candidates_that_touch_base_spans(spark):
+    """Only true overlap removes a candidate; neighbours of a span stay."""
+    r = random.Random(8)
+    token = lambda: "".join(r.choices(ENCODINGS[4][2], k=24))
+    texts = []
+    for _ in range(200):
+        parts = [r.choice([token(), "password=" + token(), f"{r.getrandbits(128):032x}", "AKIA" + "Q" * 16, "so"])
+                 for _ in range(r.randint(0, 12))]
+        texts.append(r.choice([" ", ",", "é", "", "="]).join(parts))
+    df = scanned(spark.createDataFrame([(t,) for t in texts], "text string"), "text", Battery())
+    for row in df.collect():
+        b = base(row.text)
+        found = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{20,}={0,2}", row.text)]
+        assert [(c.start, c.end) for c in row.scan.candidates] == [
+            (x, y) for x, y in found if not any(p < y and x < q for p, _, q in b)], row.text
