@@ -119,10 +119,15 @@ def chained_lookup(base: DataFrame, key: str, lookups: Sequence[tuple], aux_key:
 MANY_ROWS = "more than one row returned by a scalar lookup"
 
 
-def strict_lookup_table(src: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+def strict_lookup_table(src: DataFrame, key: str, cols: Sequence[str], ordered: bool = False) -> DataFrame:
     """One row per key with ``cols`` and the number of rows of the key, ``_n``.  A scalar subquery fails only
     where it is evaluated, so nothing is raised here: see :func:`one_row`.  The count rides along the same partial
-    aggregation."""
+    aggregation.  With ``ordered`` the values of a key with several rows are defined too: those of one row, the
+    smallest by ``cols`` in their order, NULLs first."""
+    if ordered:
+        row = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)])
+        return src.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(row).alias("_row")).select(
+            key, "_n", *[F.col("_row")[f"v{i}"].alias(c) for i, c in enumerate(cols)])
     return src.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in cols])
 
 
@@ -155,13 +160,15 @@ def exists_switch(base: DataFrame, base_key: str, a: DataFrame, b: DataFrame, sr
     ``exprs`` are derived columns evaluated on the chosen side (e.g.
     ``base_16 + cero_nacional``); ``prefix`` names the chosen columns when
     they clash with the base.  Each side is reduced to a row per key; a side
-    that is grouped by the key already is not exchanged again."""
+    that is grouped by the key already is not exchanged again.  Without ``strict``
+    it is the smallest row of the chosen side by ``cols`` and ``exprs``."""
     exprs = exprs or {}
     keep = [*cols, *exprs]
     out = base
     for i, src in enumerate((a, b)):
         # derived columns are written over the source's column names and evaluated before the per-key reduction
-        t = strict_lookup_table(src.select(src_key, *cols, *[e.alias(n) for n, e in exprs.items()]), src_key, keep)
+        t = strict_lookup_table(src.select(src_key, *cols, *[e.alias(n) for n, e in exprs.items()]), src_key, keep,
+                                not strict)
         t = t.select(F.col(src_key).alias(f"_k{i}"), F.col("_n").alias(f"_n{i}"), *[F.col(c).alias(f"_s{i}_{c}") for c in keep])
         out = out.join(t, F.col(base_key) == F.col(f"_k{i}"), "left")
     in_a = F.col("_n0").isNotNull()

@@ -636,20 +636,7 @@ def _v7i(m):
 @q("v8_dashboard")
 def _v8d(m):
     """Every part of the dashboard in long form; both ranges hold some rows only."""
-    d = R.dashboard_page(m, RANGE.start, EVENT_RANGE[1])
-
-    def name(part, key, value):
-        return F.lit(part).alias("part"), F.col(key).alias("key"), F.col(value).cast("double").alias("value")
-
-    parts = [d.totals.select(*name("total", "metric", "value")), d.income.select(*name("income", "metric", "value")),
-             d.clients.select(*name("client", "client_name", "sum_total_amount")),
-             d.banks.select(*name("bank", "bank_name", "total_posting_amount")),
-             d.taxes.agg(F.sum("vat_16").cast("double").alias("v"), F.sum("ieps").cast("double").alias("i"))
-             .selectExpr("stack(2, 'vat_16', v, 'ieps', i) as (k, v)").select(*name("tax", "k", "v"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return R.dashboard_metrics(m, RANGE.start, EVENT_RANGE[1])
 
 
 @q("v9_filter_choices")

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from ..functions.sql import register_functions
 from ..operators.clean import new_files_only
 from ..operators.filters import InvoiceFilter
+from ..operators.lookup import chained_lookup
 from ..session import scratch_path
 from ..sources.bank import bank_documents, bank_rows, file_stem, parse_extracts, read_bank_extract
 from ..sources.invoices import invoice_documents, invoices, read_invoice_xml, tax_lines, write_invoice_xml
 from ..sources.ledgers import LEDGER_SPECS, clean_ledger, dispatch_sheets, read_ledger, route_bank_sheet
+from ..sources.schema import (by_month, create_tables, insert_rows, invoice_table, posting_table,
+                              tax_ledger_table)
 from ..sources.sinks import append, create_catalog, write_json_rows, write_report
 from ..streaming.incremental import REJECTS, committed, ingest_files, ingest_invoices
 from .bridge import LINE_ORDER, Model
@@ -404,6 +407,81 @@ def _k4(m):
                        "format_price_numeric(SUM(ieps)) AS ieps_text FROM sat GROUP BY client_name")
 
 
+# ------------------------------------------------------ tables of the catalogue
+def _database(m: Model, tables: list, views: dict | None = None) -> str:
+    """A new database below the shared folder.  Queries are lazy, so it stays; its name is never used again."""
+    path = scratch_path(m.spark, "tables")
+    name = "tallyspark_" + path.rsplit("-", 1)[-1]
+    create_tables(m.spark, name, tables, path, {k: v.format(db=name) for k, v in (views or {}).items()})
+    return name
+
+
+ZERO_ME = ("subtotal_me", "discount_me", "vat_16_me", "ieps_me")
+
+
+@q("k4_tables_with_defaults")
+def _k4t(m):
+    """Invoices stored without state, date of creation and two amounts; those without a payment method are rejected.
+    Read back through a view of the catalogue after a second, void creation."""
+    spec = invoice_table(m.sat.schema)
+    views = {"invoice_rows": "SELECT receipt_number, state, subtotal_me, discount_me, total_amount, "
+                             "created_at IS NOT NULL AS dated, month FROM `{db}`.invoices"}
+    db = _database(m, [spec], views)
+    rows = m.sat.drop("state", "subtotal_me").withColumns({
+        "discount_me": F.lit(None).cast("decimal(20,2)"),
+        "payment_method": F.when(F.col("receipt_number") % 5 != 0, F.col("payment_method"))})
+    rejects = insert_rows(rows, db, spec)
+    create_tables(m.spark, db, [spec])
+    kept = m.spark.table(f"{db}.invoice_rows").withColumn("reject_reason", F.lit(None).cast("string"))
+    return kept.unionByName(rejects.select("receipt_number", "reject_reason"), allowMissingColumns=True)
+
+
+@q("f2_invoices_by_month")
+def _f2m(m):
+    """F2 over the table partitioned by month."""
+    spec = invoice_table(m.sat.schema)
+    db = _database(m, [spec])
+    insert_rows(m.sat.where(F.col("payment_method").isNotNull()), db, spec)
+    return by_month(m.spark.table(f"{db}.invoices"), "cfdi_date", "1996-03-10", "1996-05-20").select(
+        "receipt_number", "client_name", "total_amount", "cfdi_date")
+
+
+@q("f3_postings_by_month")
+def _f3m(m):
+    """F3 and A5 over postings partitioned by month."""
+    postings = m.bank_events.select("id", "bank_name", "book_date", "posting_amount")
+    spec = posting_table(postings.schema)
+    db = _database(m, [spec])
+    insert_rows(postings, db, spec)
+    days = by_month(m.spark.table(f"{db}.postings"), "book_date", "2024-01-10", "2024-01-25")
+    return days.groupBy("bank_name").agg(F.sum("posting_amount").cast("double").alias("total_posting_amount"),
+                                         F.count("id").alias("total_transactions"))
+
+
+def tax_ledger_rows(m: Model) -> DataFrame:
+    """The tax ledgers of the model as rows of one table."""
+    cols = ["clearing_document", "amount_in_doc_curr", *m.aux_order]
+    return (m.aux_ieps.select(*cols, F.lit("BCS").alias("entity"), F.lit("IEPS").alias("tax_account"))
+            .unionByName(m.aux_iva.select(*cols, F.lit("BCS").alias("entity"), F.lit("VAT").alias("tax_account"))))
+
+
+@q("j2_lookup_in_tax_ledger")
+def _j2t(m):
+    """J2 over the one tax ledger: each lookup reads the partition of its account."""
+    rows = tax_ledger_rows(m)
+    spec = tax_ledger_table(rows.drop("entity", "tax_account").schema)
+    db = _database(m, [spec])
+    insert_rows(rows, db, spec)
+    ledger = m.spark.table(f"{db}.tax_ledger")
+    part = lambda account: ledger.where((F.col("entity") == "BCS") & (F.col("tax_account") == account))
+    base = m.ledger_a.select("reference", "clearing_document")
+    out = chained_lookup(base, "clearing_document", [(part("IEPS"), "amount_in_doc_curr", "ieps"),
+                                                     (part("VAT"), "amount_in_doc_curr", "vat")],
+                         "clearing_document", m.aux_order, spread_by=["reference"])
+    return out.groupBy("clearing_document").agg(F.count(F.lit(1)).alias("items"), F.max("ieps").cast("double").alias("ieps"),
+                                                F.max("vat").cast("double").alias("vat"))
+
+
 # -------------------------------------------------------------- streaming
 @q("t1_incremental_ingest")
 def _t1(m):
@@ -572,6 +650,28 @@ def _oracle():
     O["k4_create_catalog"] = b(["sat"], fin("client_name:s total_text:s ieps_text:s",
         f"(SELECT client_name, {fp('CAST(SUM(total_amount) AS DOUBLE)')} AS total_text, "
         f"{fp('SUM(ieps)', numeric=True)} AS ieps_text FROM sat GROUP BY client_name)"))
+    fails = "(receipt_number % 5 = 0 OR payment_method IS NULL)"
+    O["k4_tables_with_defaults"] = b(["sat"], fin(
+        "receipt_number:i state:s subtotal_me:d discount_me:d total_amount:d dated:b month:s reject_reason:s",
+        f"(SELECT receipt_number, 'uploaded' AS state, 0 AS subtotal_me, 0 AS discount_me, total_amount, TRUE AS dated, "
+        f"strftime(cfdi_date, '%Y-%m') AS month, NULL AS reject_reason FROM sat WHERE NOT {fails} UNION ALL "
+        f"SELECT receipt_number, NULL, NULL, NULL, NULL, NULL, NULL, 'payment_method' FROM sat WHERE {fails})"))
+    O["f2_invoices_by_month"] = b(["sat"], fin(
+        "receipt_number:i client_name:s total_amount:d cfdi_date:t", "(SELECT * FROM sat WHERE payment_method IS NOT NULL "
+        "AND CAST(cfdi_date AS DATE) BETWEEN DATE '1996-03-10' AND DATE '1996-05-20')"))
+    O["f3_postings_by_month"] = b(["bank_ev"], fin(
+        "bank_name:s total_posting_amount:d total_transactions:i", "(SELECT bank_name, SUM(posting_amount) AS "
+        "total_posting_amount, COUNT(id) AS total_transactions FROM bank_ev WHERE CAST(book_date AS DATE) BETWEEN "
+        "DATE '2024-01-10' AND DATE '2024-01-25' GROUP BY bank_name)"))
+    amount = "round(l_extendedprice::DECIMAL(12,2) * l_tax::DECIMAL(4,2), 2)"
+    order = "l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate"
+    first = lambda flag: (f"(SELECT l_partkey AS k, first({amount} ORDER BY {order}) AS v FROM lineitem "
+                          f"WHERE l_linestatus = '{flag}' GROUP BY 1)")
+    O["j2_lookup_in_tax_ledger"] = fin(
+        "clearing_document:i items:i ieps:d vat:d", "(SELECT a.l_partkey AS clearing_document, count(*) AS items, "
+        "coalesce(any_value(o.v), 0) AS ieps, coalesce(any_value(f.v), 0) AS vat FROM lineitem a "
+        f"LEFT JOIN {first('O')} o ON o.k = a.l_partkey LEFT JOIN {first('F')} f ON f.k = a.l_partkey "
+        "WHERE a.l_returnflag = 'A' GROUP BY 1)")
     return O
 
 
