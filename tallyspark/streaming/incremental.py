@@ -18,15 +18,19 @@ that :func:`uncommitted` lists."""
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.clean import new_files_only
+from ..session import materialize
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 ROWS, REJECTS, FILES = "rows", "rejects", "files"
 
 
@@ -93,21 +97,24 @@ def _commit(spark: SparkSession, target: str, number: int, manifest: dict[str, s
         raise
 
 
-def commit_batch(batch: DataFrame, target: str, transform: Callable | None = None) -> bool:
-    """Append those rows of a batch whose ``source_path`` is of no committed file.  ``transform`` gives the rows, or
-    (rows, rejects).  False if no file is new."""
+def commit_batch(batch: DataFrame, target: str, read: Callable[[list[str]], DataFrame],
+                 transform: Callable | None = None) -> bool:
+    """Append the rows of those files of a batch (``source_path``) that are not committed.  ``read`` gives the rows of a
+    list of files; ``transform`` the rows to write, or (rows, rejects).  Files are told apart before any is opened, so a
+    replay costs no reading; rows that feed two parts are read from their files once.  False if no file is new."""
     spark = batch.sparkSession
     before = manifests(spark, target)
     registry = committed(spark, target, FILES, "source_path string")
-    fresh = new_files_only(batch, registry, "source_path")
     name = uuid.uuid4().hex
     manifest = {FILES: f"data/{name}-{FILES}"}
-    _write(fresh.select("source_path").distinct(), f"{target}/{manifest[FILES]}")
-    files = spark.read.schema("source_path string").parquet(f"{target}/{manifest[FILES]}")
-    if files.isEmpty():
+    _write(new_files_only(batch.select("source_path").distinct(), registry, "source_path"), f"{target}/{manifest[FILES]}")
+    files = [r.source_path for r in spark.read.schema("source_path string").parquet(f"{target}/{manifest[FILES]}").collect()]
+    if not files:
         return False
-    rows = fresh.drop("source_path")
+    rows = read([_readable(f) for f in sorted(files)])
     out = transform(rows) if transform else rows.withColumn("file_name", F.col("source_file"))
+    if isinstance(out, tuple):
+        out = transform(materialize(rows, spark, "batch"))
     for part, df in zip((ROWS, REJECTS), out if isinstance(out, tuple) else (out,), strict=False):
         manifest[part] = f"data/{name}-{part}"
         _write(df, f"{target}/{manifest[part]}")
@@ -115,6 +122,11 @@ def commit_batch(batch: DataFrame, target: str, transform: Callable | None = Non
     return True
 
 
+def _readable(file_path: str) -> str:
+    """The path that a reader takes for a ``_metadata.file_path``, which is encoded; readers expand patterns."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(file_path))
+
+
 def ingest_files(spark: SparkSession, source_dir: str, fmt: str, schema: T.StructType, target: str,
                  checkpoint: str, transform: Callable | None = None,
                  options: dict | None = None,
@@ -124,18 +136,19 @@ def ingest_files(spark: SparkSession, source_dir: str, fmt: str, schema: T.Struc
     micro-batches run.  ``transform`` cleans/types one batch (e.g.
     ``bank_rows``) into rows, or into (rows, rejects); it gets the columns of
     the format plus ``source_file`` and ``s3_url`` (the source path)."""
-    reader = spark.readStream.format(fmt).schema(schema)
-    for k, v in (options or {}).items():
-        reader = reader.option(k, v)
+    # the stream tells which files landed, and does not open them
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).options(**options or {})
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.load(source_dir).select("*", F.col("_metadata.file_name").alias("source_file"),
-                                            F.col("_metadata.file_path").alias("s3_url"),
-                                            F.col("_metadata.file_path").alias("source_path"))
+    stream = reader.load(source_dir).select(F.col("_metadata.file_path").alias("source_path"))
     batches = []
 
+    def read(files: list[str]) -> DataFrame:
+        return spark.read.format(fmt).schema(schema).options(**options or {}).load(files).select(
+            "*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_path").alias("s3_url"))
+
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        commit_batch(batch, target.rstrip("/"), transform)
+        commit_batch(batch, target.rstrip("/"), read, transform)
         batches.append(epoch_id)
 
     q = (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
