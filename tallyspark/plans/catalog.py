@@ -328,7 +328,7 @@ def _a9(m):
 
 @q("a10_group_matches")
 def _a10(m):
-    return A.group_matches(R.reconciliation_listing(m, FL.InvoiceFilter(), AS_OF))
+    return A.group_matches(R.reconciliation_listing(m, FL.InvoiceFilter(), AS_OF, columns=("bank_name", "posting_amount_number")))
 
 
 @q("a11_page_info")

@@ -47,24 +47,34 @@ def attach_and_classify(view: DataFrame, per_clearing: DataFrame, filt: InvoiceF
     return out
 
 
-def shared_view(m, filt: InvoiceFilter | None, materialize_view: bool = True) -> DataFrame:
+#: Columns of the view by which postings are matched and attached.
+MATCH_COLS = ("receipt_number", "client_name", "clearing_payment_policy", "total_amount")
+
+
+def shared_view(m, filt: InvoiceFilter | None, materialize_view: bool = True, columns=None) -> DataFrame:
     """The enrichment view feeds several branches (the per-clearing sums, the
     attach join, the totals).  Spark would evaluate its joins once per branch,
     so the joined rows are written once to the shared checkpoint folder and
     read back -- which also cuts lineage, so a lost executor does not recompute
-    them; formatting stays a projection of each branch."""
+    them; formatting stays a projection of each branch.  With ``columns`` the view has these and those it is matched by;
+    joins that serve no other column are left to the optimizer to drop."""
     rows = enriched(m, filt)
+    if columns is not None:
+        view = view_columns(rows).select(*dict.fromkeys([*MATCH_COLS, *columns]))
+        return materialize(view, label="conciliations-view") if materialize_view else view
     return view_columns(materialize(rows, label="conciliations-view") if materialize_view else rows)
 
 
 def reconciliation_listing(m, filt: InvoiceFilter, as_of, two_pass: bool = True,
-                           null_safe: bool = True, materialize_view: bool = True) -> DataFrame:
+                           null_safe: bool = True, materialize_view: bool = True, columns=None) -> DataFrame:
     """V5 detail: every PUE/PPD invoice once (deliberate: the reference
     lists each twice), with the bank posting it reconciles to and its
-    status."""
-    view = shared_view(m, filt, materialize_view)
+    status.  ``columns`` are those of the listing to return (all)."""
+    own = None if columns is None else [c for c in columns if c not in LISTING_BANK_COLS]
+    view = shared_view(m, filt, materialize_view, own)
     per = matched_per_clearing(view, m.bank, filt, two_pass)
-    return attach_and_classify(view, per, filt, as_of, null_safe)
+    out = attach_and_classify(view, per, filt, as_of, null_safe)
+    return out if columns is None else out.select(*columns)
 
 
 @dataclass
