@@ -142,3 +142,34 @@ def test_only_what_is_read_again_stays_on_disk(spark, documents):
     assert len(left) <= 3
     assert scores.count() == documents.count()
     assert spark.conf.get(FREE_SHUFFLES) == "false"
+
+
+@pytest.mark.parametrize("share", [1e-3, 3e-3, 1.5e-2])
+def test_light_pairs_of_the_trunk_are_stored(documents, share):
+    """A frequent context stores every next symbol seen twice, whether the pair travels with the tasks or not."""
+    s = Settings(least_context=share, held_pair=share, chunk_bytes=30_000, buckets=3, part_tokens=20_000)
+    rows = documents.select("doc_id", "text").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows}
+    plain = Plain([split(r.text) + ["\n"] for r in rows if not held[r.doc_id]], s)
+    least = math.ceil(share * plain.n)
+    assert sum(2 <= v < least <= plain.size[c] for c in plain.next for v in plain.next[c].values()) > 100
+    expected = {r.doc_id: plain.score(split(r.text) + ["\n"]) for r in rows}
+    got = {r.doc_id: r.score for r in suffix_tree_scores(documents, s=s).collect()}
+    assert got == pytest.approx(expected, rel=1e-6)
+
+
+def test_frequent_contexts_learn_rare_pairs_at_every_size(spark):
+    """Among 2.6 million tokens, a frequent word with 1000 next words, four times each, which no share of the input decides."""
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(60_000)}"
+    train = [i for i in range(9_000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(9_000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = {i: [word() for _ in range(300)] for i in range(9_000)}
+    for k in range(4_000):
+        rows[train[k]] += ["key", f"w{k % 1_000}"]
+    rows[held] = [x for k in range(1_000) for x in (f"w{k + 30_000}", "key", f"w{k}")]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows.items()], "doc_id long, text string")
+    found = suffix_tree_scores(docs).where(f"doc_id = {held}").first()
+    assert found.train_tokens > 2_000_000
+    # after the word each of the 1000 has 3.25 / 4000 and little more; by the words' own share about 1.6e-5
+    assert found.score - found.base_score > 1_500
