@@ -66,3 +66,28 @@ def test_a_replay_opens_no_known_file_and_names_may_be_odd(spark):
         f.write("k0,none\n")  # a reader would fail on it
     ingest_files(spark, landing, "csv", "k string, v int", target, f"{root}/two", options=strict)
     assert committed(spark, target).count() == 3
+
+
+def test_landed_sheets_are_compressed_and_go_once_they_are_counted(spark):
+    """Of six sheets that a query lands and reads, only the counts are left."""
+    import __spark_entry__
+    from tallyspark.session import ensure_checkpoint_dir
+    folder, sizes = ensure_checkpoint_dir(spark).removeprefix("file:"), []
+    before = set(os.listdir(folder))
+    from tallyspark.plans import rows_only
+    land = rows_only.land_sheet
+
+    def landed(sheet, path):
+        land(sheet, path)
+        files = [f for _, _, names in os.walk(path.removeprefix("file:")) for f in names if not f.startswith((".", "_"))]
+        assert files and all(f.endswith(".csv.gz") for f in files)
+        sizes.append({x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before})
+        return path
+
+    rows_only.land_sheet = landed
+    try:
+        __spark_entry__.queries()["q12_unreadable_numbers"](spark, "/root/testdata/sf0.001")
+    finally:
+        rows_only.land_sheet = land
+    assert len(sizes) == 6 and all(x <= {"landing-ledger", "unreadable-cells"} for x in sizes)
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"unreadable-cells"}
