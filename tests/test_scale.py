@@ -91,3 +91,17 @@ def test_landed_sheets_are_compressed_and_go_once_they_are_counted(spark):
         rows_only.land_sheet = land
     assert len(sizes) == 6 and all(x <= {"landing-ledger", "unreadable-cells"} for x in sizes)
     assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"unreadable-cells"}
+
+
+def test_a_listing_of_landed_files_keeps_what_it_reads(spark):
+    """Of the landed files and work tables only the view and the bank extracts, and no exchange before the listing's."""
+    import __spark_entry__
+    from tallyspark.session import FREE_SHUFFLES, ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before, setting = set(os.listdir(folder)), spark.conf.get(FREE_SHUFFLES)
+    listing = __spark_entry__.queries()["e2e_reconciliation"](spark, "/root/testdata/sf0.001")
+    made = set(os.listdir(folder)) - before
+    assert {x.rsplit("-", 1)[0] for x in made} == {"conciliations-view", "landing-bank"}
+    banks = next(os.path.join(folder, x) for x in made if x.startswith("landing-bank"))
+    assert all(f.endswith(".txt.gz") for f in os.listdir(banks) if not f.startswith((".", "_")))
+    assert spark.conf.get(FREE_SHUFFLES) == setting and listing.count() > 0
